@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from quillon.llm import exact_dedup, line_dedup
+from quillon.llm import chat_format, decontaminate, exact_dedup, language_id, line_dedup, quality
 
-QUERIES = {"op1_line_dedup": line_dedup.query, "op8_exact_dedup": exact_dedup.query}
-ORACLES = {"op1_line_dedup": line_dedup.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
+QUERIES = {
+    "op1_line_dedup": line_dedup.query,
+    "op4_decontamination": decontaminate.query,
+    "op6_quality": quality.query,
+    "op7_chat_format": chat_format.query,
+    "op8_exact_dedup": exact_dedup.query,
+    "op10_language_id": language_id.query,
+}
+ORACLES = {"op1_line_dedup": line_dedup.ORACLE, "op4_decontamination": decontaminate.ORACLE, "op7_chat_format": chat_format.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
