@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,13 +33,27 @@ from quillon.llm.common import table
 from quillon.runtime import flat_map, materialize
 
 CAPACITY = 2048
-#: Cuts whose ids a worker remembers.
-CACHE = 400_000
+#: Cuts whose ids a worker remembers: some 200 MB.
+CACHE = 800_000
 _CUT = re.compile(r" (?=\S)")
+#: The byte-level splitting pattern of the vocabulary.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+PROBE = "It's  a\n\n probe, naïve 123 <|endoftext|>\t… of_words \u3042!! "
+
+
+def byte_letters() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for: printable bytes for themselves, the rest from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit numbers."""
+    """Ids of whole texts as little-endian unsigned 32-bit numbers.
+
+    A cut that is not remembered is encoded by tiktoken with the ranks of the tokenizer file's vocabulary, which is three times faster
+    there than the tokenizers library; a file whose ids the two do not agree on in a probe is left to the latter.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -47,6 +62,22 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes] = {}
+        self.fast = self._ranked()
+
+    def _ranked(self):
+        import tiktoken
+
+        letters, special = byte_letters(), {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        vocab = {w: k for w, k in self.tokenizer.get_vocab(with_added_tokens=True).items() if w not in special}
+        if any(c not in letters for w in vocab for c in w):
+            return None
+        fast = tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks={bytes(letters[c] for c in w): k for w, k in vocab.items()}, special_tokens={})
+        return fast if fast.encode_ordinary(PROBE) == self.tokenizer.encode(PROBE, add_special_tokens=False).ids else None
+
+    def _encode_new(self, batch: list[str]) -> list[list[int]]:
+        if self.fast:
+            return list(map(self.fast.encode_ordinary, batch))
+        return [e.ids for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = []
@@ -60,8 +91,8 @@ class Encoder:
         new = list({x for own in parts for x in own} - self.known.keys())
         for at in range(0, len(new), 4096):
             batch = new[at : at + 4096]
-            for x, e in zip(batch, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)):
-                self.known[x] = np.array(e.ids, "<u4").tobytes()
+            for x, ids in zip(batch, self._encode_new(batch)):
+                self.known[x] = array("I", ids).tobytes()
         get = self.known.__getitem__
         return [b"".join(map(get, own)) for own in parts]
 
