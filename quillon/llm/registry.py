@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quillon.llm import chat_format, decontaminate, exact_dedup, language_id, line_dedup, packing, quality, simhash
+from quillon.llm import chat_format, decontaminate, exact_dedup, language_id, line_dedup, packing, pii, quality, simhash
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
     "op2_packing": packing.query,
+    "op3_pii": pii.query,
     "op4_decontamination": decontaminate.query,
     "op6_quality": quality.query,
     "op7_chat_format": chat_format.query,
