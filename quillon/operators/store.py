@@ -46,7 +46,7 @@ def live_entries(rows: DataFrame, key: list[str], value: str, at: str, now: Colu
 
 
 def snapshot(rows: DataFrame, id_col: str, payload: str) -> DataFrame:
-    return rows.select(id_col, F.base64(F.encode(payload, "UTF-8")).alias("payload"), F.sha2(payload, 256).alias("payload_sha256"))
+    return rows.select(id_col, F.regexp_replace(F.base64(F.encode(payload, "UTF-8")), r"\s", "").alias("payload"), F.sha2(payload, 256).alias("payload_sha256"))
 
 
 def append_batch(batch: DataFrame, path: str, key: str, rules: list[tuple[str, str, Column, str]]) -> DataFrame:
