@@ -21,7 +21,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from quillon.llm.common import SPACE, table
 from quillon.runtime import flat_map, materialize, prepare
@@ -113,17 +112,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     passed, again = unique[0], maybe[0]
     for u, m in zip(unique[1:], maybe[1:]):
         passed, again = passed.unionByName(u), again.unionByName(m)
-    again = materialize(again, "possibly_repeated")
+    again = materialize(again.withColumn("__row", F.monotonically_increasing_id()), "possibly_repeated")  # once written, row numbers are firm
 
-    order = F.struct(-F.col("__chars"), F.col(id_col).isNull(), F.col(id_col))
+    order = F.struct(-F.col("__chars"), F.col(id_col).isNull(), F.col(id_col), F.col("__row"))
     groups = materialize(again.groupBy("__digest").agg(F.min(order).alias("__top"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1"), "groups")
-    joined = again.join(groups, "__digest", "left").withColumn("__is_top", F.col("__top").isNull() | order.eqNullSafe(F.col("__top")))
-    # ties only matter among top rows; the others are spread, so a large group of copies isn't one window
-    spread = F.when(F.col("__is_top"), F.lit(-1)).otherwise(F.pmod(F.xxhash64(F.col(id_col)), F.lit(4096)))
-    ranked = joined.withColumn("__spread", spread).withColumn("__rank", F.row_number().over(W.partitionBy("__digest", "__spread").orderBy(F.col(id_col))))
+    joined = again.join(groups, "__digest", "left")
     names = [c for c in rows.columns if not c.startswith("__")]
     sha = F.lower(F.hex(F.col("__digest"))).alias("text_sha256")
-    repeated = ranked.select(*names, F.when(F.col("__top").isNull(), F.col(id_col)).otherwise(F.col("__top")[id_col]).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (F.col("__is_top") & (F.col("__rank") == 1)).alias("kept"), sha)
+    repeated = joined.select(*names, F.when(F.col("__top").isNull(), F.col(id_col)).otherwise(F.col("__top")[id_col]).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (F.col("__top").isNull() | (F.col("__top")["__row"] == F.col("__row"))).alias("kept"), sha)
     return passed.select(*names, F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha).unionByName(repeated)
 
 
