@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions import rules, sequences
 from quillon.operators import features, mutations
 from quillon.plans.views import CHAINS, PAIRS, POSITIONS, pairs, scored, table
+from quillon.sources import sequences as fasta
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -295,3 +296,18 @@ SELECT d.doc_id, coalesce(w, '') AS token, CASE WHEN w IS NULL THEN 'unavailable
 )
 def longest_token(spark, sf_dir):
     return features.longest_residue_token(table(spark, sf_dir, "documents"))
+
+
+FASTA = f"""WITH {PAIRS} SELECT upper(antibody_id) AS antibody_id, CASE WHEN CAST(antibody_id AS BIGINT) % 3 = 0 THEN '' ELSE VH END AS VH, VL, CASE WHEN CAST(antibody_id AS BIGINT) % 10 = 1 AND VL <> '' THEN 'duplicate VL' END AS error FROM pairs
+WHERE (CAST(antibody_id AS BIGINT) % 3 <> 0 AND VH <> '') OR VL <> ''"""
+
+
+@query("fasta_parse", FASTA)
+def fasta_parse(spark, sf_dir):
+    p = pairs(spark, sf_dir)
+    n = F.col("antibody_id").cast("long")
+    wrap = lambda c: F.concat(F.substring(c, 1, 60), F.lit("\n"), F.lower(F.substring(c, 61, 200)))
+    heavy = F.when(n % 3 != 0, F.concat(F.lit(">"), "antibody_id", F.lit("_vh\n"), wrap("VH")))
+    light = F.concat(F.lit(">"), "antibody_id", F.lit("|VL\n"), wrap("VL"))
+    records = p.select(F.explode(F.array_compact(F.array(heavy, light, F.when(n % 10 == 1, light)))).alias("value"))
+    return fasta.pivot_chains(fasta.parse_records(records))
