@@ -60,7 +60,7 @@ class SuffixAutomaton:
                 for w in words:
                     state = self.next[state][w]
                 self.short_items.setdefault(state, []).append((len(words), key))
-        self.shortest = min((len(words) for _, words in coded), default=window)
+        self.shortest = min((len(words) for _, words in coded if len(words) < window), default=window)
         self.short_up: list[int] = self._nearest_short()
 
     def _extend(self, last: int, w: int) -> int:
@@ -130,7 +130,7 @@ class SuffixAutomaton:
         spans: list[tuple[int, int]] = []
         found: set[str] = set()
         for a, b in zip(known[::2].tolist(), known[1::2].tolist()):  # runs of words that items have; shorter ones can't hold a window
-            if b - a < self.shortest or b - a < self.window and not self.short_items:
+            if b - a < self.shortest:
                 continue
             for end, (state, n) in enumerate(self.stream(ids[a:b].tolist()), a + 1):
                 if n >= self.window:
