@@ -8,6 +8,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -17,7 +18,8 @@ from pyspark.sql import types as T
 #: Bytes that one Arrow batch may hold on its way to a Python worker.
 BATCH_BYTES = 32 << 20
 _PACKAGE = Path(__file__).resolve().parent
-_scratch: list[tuple[SparkSession, str]] = []
+_scratch: list[tuple[SparkSession, str, str]] = []
+_owner = [""]
 _shipped: set[str] = set()
 
 
@@ -68,21 +70,32 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/quillon-{uuid.uuid4().hex}/{tag}"
     df.write.parquet(path)
-    _scratch.append((spark, path))
+    _scratch.append((spark, path, _owner[-1]))
     return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
     """Delete the scratch table that df reads, once no plan needs it any more."""
     files = [f.rsplit("/", 1)[0] for f in df.inputFiles()]
-    for spark, path in [x for x in _scratch if any(f.endswith(x[1].split("://")[-1].lstrip("/")) for f in files)]:
+    for spark, path, _ in [x for x in _scratch if any(f.endswith(x[1].split("://")[-1].lstrip("/")) for f in files)]:
         _delete(spark, path)
 
 
-def release_scratch() -> None:
-    """Delete every scratch table so far. DataFrames that read them must have been written."""
-    for spark, path in list(_scratch):
-        _delete(spark, path)
+@contextmanager
+def owned_by(owner: str) -> Iterator[None]:
+    """Scratch tables that are made meanwhile belong to the owner."""
+    _owner.append(owner)
+    try:
+        yield
+    finally:
+        _owner.pop()
+
+
+def release_scratch(owner: str) -> None:
+    """Delete the owner's scratch tables. DataFrames that read them must have been written."""
+    for spark, path, of in list(_scratch):
+        if of == owner:
+            _delete(spark, path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -95,7 +108,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _at_exit() -> None:
-    for spark, path in list(_scratch):
+    for spark, path, _ in list(_scratch):
         try:
             if spark.sparkContext._jsc is not None:
                 _delete(spark, path)
