@@ -1,66 +1,75 @@
 """Corpus pipeline: quality, line dedup, near-dedup, decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next stage's docs. All but the
-last return the columns of documents. A stage first deletes the scratch tables of the one before, whose result has been written by then.
+last return the columns of documents. A stage first deletes the scratch tables of the one before, whose result has been written by then; those of the
+last stage stay for its result, until the session ends.
 """
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontaminate, line_dedup, packing, quality, simhash
+from quillon.llm import decontaminate, line_dedup, packing, quality, similar
 from quillon.llm.common import table
-from quillon.runtime import release_scratch, scratch_dir
+from quillon.runtime import materialize, owned_by, release_scratch
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: Documents of a lower probability of good quality go.
 QUALITY = 0.3
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
-    release_scratch()
     scored = quality.quality_scores(docs, quality.contract_model(spark, docs, sf_dir))
     return scored.filter(F.col("score") >= QUALITY).select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that ten documents or more have."""
-    release_scratch()
     out = line_dedup.line_dedup(docs)
     text = F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text"))
     return out.withColumns({"text": text, "n_chars": F.when(F.col("n_dropped") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))}).select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies."""
-    release_scratch()
-    marked = simhash.simhash_near_dedup(docs, shingle=5)
-    return marked.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).dropDuplicates(["doc_id", "fingerprint"]).select(*docs.columns)
+    """One document, that of the smallest id, of each group whose five-word shingles are similar to 0.8 or more."""
+    return similar.similar_groups(docs, shingle=5, similarity=0.8).filter("representative").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the spans that they share with the benchmark; those that mostly consist of such spans go."""
-    release_scratch()
     out = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of 2048 tokens."""
-    release_scratch()
     packed = packing.pack(docs, packing.default_tokenizer())
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+
+
+def tidy(stage: Stage, keep: bool = False) -> Stage:
+    """The stage, which deletes the pipeline's scratch tables so far and, unless they are to be kept, leaves its own to the next one."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release_scratch("pipeline")
+        with owned_by("pipeline result" if keep else "pipeline"):
+            return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("quality classifier", quality_stage),
-    ("line dedup", line_stage),
-    ("near-dedup", near_dedup_stage),
-    ("decontamination", decontamination_stage),
-    ("packing", packing_stage),
+    ("quality classifier", tidy(quality_stage)),
+    ("line dedup", tidy(line_stage)),
+    ("near-dedup", tidy(near_dedup_stage)),
+    ("decontamination", tidy(decontamination_stage)),
+    ("packing", tidy(packing_stage, keep=True)),
 ]
 #: SQL can express neither the classifier, the fingerprints nor the tokenizer.
 ORACLE_SQL = None
@@ -68,10 +77,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's result over the table documents."""
-    docs, kept = table(spark, sf_dir, "documents"), f"{scratch_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if number + 1 == len(STAGES):
             return out
-        out.write.parquet(f"{kept}/{number}")
-        docs = spark.read.schema(out.schema).parquet(f"{kept}/{number}")
+        with owned_by("pipeline result"):  # read by the next stage only, deleted at exit
+            docs = materialize(out, "stage")

@@ -33,8 +33,8 @@ from quillon.llm.common import table
 from quillon.runtime import flat_map, materialize
 
 CAPACITY = 2048
-#: Cuts whose ids a worker remembers: some 200 MB.
-CACHE = 800_000
+#: Cuts whose ids a worker remembers: some 80 MB.
+CACHE = 300_000
 _CUT = re.compile(r" (?=\S)")
 #: The byte-level splitting pattern of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
