@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from quillon.operators import guards, retrieval
 from quillon.plans.registry import Registry
-from quillon.plans.views import table
+from quillon.plans.views import pairs, table
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
 
 BL = "chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
-CHUNKS = "SELECT {id}, i, trim(substr(s, k * {step} + 1, {max}), " + BL + ") AS text FROM (SELECT {id}, i, s, unnest(generate_series(0, greatest(0, CAST(ceil((length(s) - {max}) / {step}) AS INT)))) AS k FROM ({src})), (SELECT 1)"
 
 
 @query("chunk_length", f"""WITH d AS (SELECT doc_id, trim(coalesce(text, ''), {BL}) AS s FROM documents),
@@ -192,8 +192,6 @@ def rule_query(spark, sf):
 @query("guard_numbers", """WITH p AS (SELECT conv_id, turn, role, coalesce(text, '') || ' score ' || (conv_id % 7) || '.5 and ' || (turn * 10) || '%' AS answer, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') || CASE WHEN conv_id % 2 = 0 THEN ' ' || (conv_id % 7) || '.5' ELSE '' END AS tool FROM conversations)
 SELECT conv_id, turn, array_to_string(list_filter(regexp_extract_all(answer, '[0-9]+\\.[0-9]+|[0-9]+(?:\\.[0-9]+)?%'), lambda x: NOT contains(tool, x)), ';') AS violations FROM p WHERE role = 'assistant'""")
 def guard_numbers(spark, sf):
-    from pyspark.sql import Window as W
-
     c = table(spark, sf, "conversations")
     said = F.concat(F.coalesce("text", F.lit("")), F.lit(" score "), (F.col("conv_id") % 7).cast("string"), F.lit(".5 and "), (F.col("turn") * 10).cast("string"), F.lit("%"))
     extra = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit(" "), (F.col("conv_id") % 7).cast("string"), F.lit(".5"))).otherwise("")
@@ -209,8 +207,6 @@ def redact(spark, sf):
 
 @query("scrub_sequences")
 def scrub(spark, sf):
-    from quillon.plans.views import pairs
-
     return pairs(spark, sf).select("antibody_id", guards.scrub_text(F.concat(F.lit("chain "), "VH", F.lit(" noted"))).alias("text"))
 
 
