@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: Bytes that one Arrow batch may hold on its way to a Python worker.
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
+BATCH_ROWS = 2000
 _PACKAGE = Path(__file__).resolve().parent
 _scratch: list[tuple[SparkSession, str, str]] = []
 _owner = [""]
@@ -42,6 +43,7 @@ def prepare(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes and make this package importable on executors."""
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) != str(BATCH_BYTES):
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     on_path = {str(Path(p or ".").resolve()) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep)}
     if app in _shipped or str(_PACKAGE.parent) in on_path or Path.cwd() == _PACKAGE.parent:
