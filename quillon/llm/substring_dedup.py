@@ -206,8 +206,9 @@ def halve(classes: DataFrame, length: int, q: int) -> DataFrame:
     found, active = None, flat_map(classes.withColumn("done", F.lit(0).cast("long")), ACTIVE, judge)
     while True:
         active = materialize(active, "active")
-        cores = active.groupBy("gram", "c1", "c2").agg(F.count(F.lit(1)).alias("__m")).filter("__m > 1").drop("__m")
-        covers = active.groupBy("gram", "d1", "d2").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1")
+        # written first, so that both sides of the joins are plain shuffles, whose large partitions Spark splits
+        cores = materialize(active.groupBy("gram", "c1", "c2").agg(F.count(F.lit(1)).alias("__m")).filter("__m > 1").drop("__m"), "cores")
+        covers = materialize(active.groupBy("gram", "d1", "d2").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1"), "covers")
         state = materialize(active.join(cores, ["gram", "c1", "c2"], "left_semi").join(covers, ["gram", "d1", "d2"], "left").select(*ACTIVE.names, "__n"), "judged")
         whole = state.filter("done = 0 AND __n IS NOT NULL").select(*RANGE.names)
         found = whole if found is None else found.unionByName(whole)
