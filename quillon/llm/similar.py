@@ -30,6 +30,8 @@ from quillon.runtime import flat_map, map_columns, materialize
 
 PARTS = 12
 ROUNDS = 3
+#: Row numbers of 8 bytes that a broadcast holds at most.
+BROADCAST_ROWS = 2_000_000
 LEAST = 3  # shingles of a part that make a key
 MARK = T.StructType([T.StructField("__class", T.LongType()), T.StructField("__n", T.IntegerType()), T.StructField("__keys", T.BinaryType())])
 
@@ -94,8 +96,27 @@ def verified(edges: DataFrame, bodies: DataFrame, shingle: int, similarity: floa
     return flat_map(joined, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]), run)
 
 
+def few(rows: DataFrame) -> DataFrame:
+    """rows, marked for a broadcast where they are at most BROADCAST_ROWS; else they are joined by a shuffle."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, rounds: int = ROUNDS) -> DataFrame:
+    """docs without all rows of a group but its representative. Texts stay in place while the rows that go are few enough to broadcast."""
+    marked, of_class = grouped(docs, id_col, text_col, shingle, similarity, rounds)
+    gone = marked.select("__row", "__class").join(of_class, "__class").filter("__row <> __best.r").select("__row")
+    return marked.join(few(materialize(gone, "gone")), "__row", "left_anti").select(*docs.columns)
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, rounds: int = ROUNDS) -> DataFrame:
     """docs with group_id (the smallest id of the group) and representative, true for one row of each group."""
+    marked, of_class = grouped(docs, id_col, text_col, shingle, similarity, rounds)
+    names = [c for c in marked.columns if not c.startswith("__") and c not in ("group_id", "representative")]
+    return marked.join(of_class, "__class").select(*names, F.col("__best.i").alias("group_id"), (F.col("__row") == F.col("__best.r")).alias("representative"))
+
+
+def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """docs as a table with __row and __class, and (__class, __best) with the id and row of the group's representative."""
 
     def make():
         def f(b: pa.RecordBatch) -> list[pa.Array]:
@@ -104,9 +125,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         return f
 
-    marked = materialize(map_columns(docs, MARK, make, drop=("group_id", "representative")).withColumn("__row", F.monotonically_increasing_id()), "marked")
+    marked = materialize(map_columns(docs, MARK, make).withColumn("__row", F.monotonically_increasing_id()), "marked")
     first = F.min(F.struct(F.col(id_col).isNull().alias("u"), F.col(id_col).alias("i"), F.col("__row").alias("r")))
-    classes = materialize(marked.groupBy("__class", "__n").agg(first.alias("__first")), "classes")
+    classes = materialize(marked.groupBy("__class", "__n").agg(first.alias("__first"), F.min("__keys").alias("__keys")), "classes")  # a class's keys are equal
 
     def explode(batches):
         for b in batches:
@@ -115,12 +136,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(k)), pa.array(np.repeat(b.column(0).to_numpy(), size)), pa.array(np.repeat(b.column(1).to_numpy(), size))], names=["key", "class", "n"])
 
     schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("class", T.LongType()), T.StructField("n", T.IntegerType())])
-    one = marked.join(classes.select(F.col("__first.r").alias("__row")), "__row", "left_semi")  # a row of each class
-    postings = flat_map(one.select("__class", "__n", "__keys"), schema, explode)
-    span = postings.groupBy("key").agg(F.min("class").alias("__a"), F.max("class").alias("__b")).filter("__a < __b").select("key")
+    postings = flat_map(classes.select("__class", "__n", "__keys"), schema, explode)
+    span = materialize(postings.groupBy("key").agg(F.min("class").alias("__a"), F.max("class").alias("__b")).filter("__a < __b").select("key"), "span")  # a plain shuffle in the join, which Spark can split
     shared = materialize(postings.join(span, "key"), "shared")
-    involved = shared.select(F.col("class").alias("__class")).distinct()
-    bodies = materialize(one.join(involved, "__class", "left_semi").select("__class", F.col(text_col).alias("text")), "bodies")
+    involved = classes.join(shared.select(F.col("class").alias("__class")).distinct(), "__class", "left_semi").select(F.col("__first.r").alias("__row"))
+    bodies = materialize(marked.join(few(materialize(involved, "involved")), "__row", "left_semi").select("__class", F.col(text_col).alias("text")), "bodies")
 
     found, labels, used = None, None, None
     for _ in range(rounds):
@@ -150,5 +170,4 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         rooted = classes.join(labels, F.col("__class") == F.col("node"), "left").withColumn("__root", F.coalesce("root", "__class")).drop("node", "root")
     best = rooted.groupBy("__root").agg(F.min("__first").alias("__best"))
     of_class = materialize(rooted.join(best, "__root").select("__class", "__best"), "groups")
-    names = [c for c in marked.columns if not c.startswith("__")]
-    return marked.join(of_class, "__class").select(*names, F.col("__best.i").alias("group_id"), (F.col("__row") == F.col("__best.r")).alias("representative"))
+    return marked, of_class
