@@ -7,8 +7,8 @@ parts alone at exactly 0.8, more above).
 
 Documents of equal shingle sets are one class. Of the classes that share a key the smallest is compared with each of the others, by the exact
 Jaccard similarity of their shingle sets; verified links join components. Where a key still holds several components, another of them gives the next
-pivot, ROUNDS times: comparisons grow with the postings, not with the square of a group. A link between two classes none of which was a pivot of a
-shared key, and which no chain of links joins, can be missed beyond that.
+pivot, ROUNDS times: comparisons grow with the postings, not with the square of a group. Keys whose other classes then lie in several components are
+open: their classes are joined by rare shingles (see rare_pairs), which misses no similar pair of theirs, so every similar pair that shares a key ends in one component.
 
 Defined cases: null and empty texts have no shingles and form one group; texts of fewer words than a shingle are one shingle; null ids come last when a group's
 representative is chosen; of wholly tied rows exactly one is it; an empty table gives an empty result.
@@ -26,13 +26,15 @@ from pyspark.sql import types as T
 from quillon.llm.common import texts
 from quillon.llm.simhash import _xxh, golay_keys, shingles
 from quillon.operators.graph import connected_components
-from quillon.runtime import flat_map, map_columns, materialize
+from quillon.runtime import discard, flat_map, map_columns, materialize
 
 PARTS = 12
 ROUNDS = 3
 #: Row numbers of 8 bytes that a broadcast holds at most.
 BROADCAST_ROWS = 2_000_000
 LEAST = 3  # shingles of a part that make a key
+#: Counters of shingles, 4 bytes each in a broadcast.
+SLOTS = 1 << 20
 MARK = T.StructType([T.StructField("__class", T.LongType()), T.StructField("__n", T.IntegerType()), T.StructField("__keys", T.BinaryType())])
 
 
@@ -96,6 +98,52 @@ def verified(edges: DataFrame, bodies: DataFrame, shingle: int, similarity: floa
     return flat_map(joined, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]), run)
 
 
+def rare_first(h: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a set by their slots' counts, then by value, and for each the greatest size of a set that can be similar if it is their first common one.
+
+    Sets of a and b hashes are similar if similarity / (1 + similarity) * (a + b) are common; if the first is at position i, at most a - i are.
+    """
+    h = h[np.lexsort((h, counts[h >> np.uint64(44)]))]
+    size = (len(h) - np.arange(len(h))) * ((1 + similarity) / similarity) - len(h)
+    m = int(np.searchsorted(-size, -(similarity * len(h) - 1e-6), "right"))  # smaller ones are not similar by their size
+    return h[:m], np.floor(size[:m] + 1e-6).astype(np.int64)
+
+
+def rare_pairs(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Candidate pairs (a, b) of rows (class, label, text) of different labels: all similar pairs are among them.
+
+    The larger set of a pair gives the hashes that leave room for a set of similarity * its size, the smaller one those that leave room for its own size.
+    Shingles that many rows have come last, so a template of many rows makes no pairs unless it makes rows similar.
+    """
+
+    def count(batches):
+        for b in batches:
+            h = [np.unique(shingle_hashes(t, shingle)) for t in texts(b.column("text"))]
+            slot, n = np.unique(np.concatenate([*h, np.zeros(0, np.uint64)]) >> np.uint64(44), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(n.astype(np.int64))], names=["slot", "n"])
+
+    schema = T.StructType([T.StructField("slot", T.IntegerType()), T.StructField("n", T.LongType())])
+    found = flat_map(rows, schema, count).groupBy("slot").agg(F.sum("n").alias("n")).filter("n > 1").toPandas()
+    counts = np.ones(SLOTS, np.int32)
+    counts[found["slot"].to_numpy(np.int64)] = np.minimum(found["n"].to_numpy(np.int64), 2**31 - 1)
+    shared = rows.sparkSession.sparkContext.broadcast(counts)
+
+    def prefix(batches):
+        for b in batches:
+            h = [np.unique(shingle_hashes(t, shingle)) for t in texts(b.column("text"))]
+            own, room = zip(*(rare_first(x, shared.value, similarity) for x in h)) if h else ((), ())
+            size = [len(x) for x in own]
+            row = [np.repeat(x, size) for x in (b.column("class").to_numpy(), b.column("label").to_numpy(), np.array([len(x) for x in h], np.int64))]
+            token, room = np.concatenate([*own, np.zeros(0, np.uint64)]), np.concatenate([*room, np.zeros(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), *map(pa.array, row), pa.array(room)], names=["token", "class", "label", "n", "room"])
+
+    schema = T.StructType([T.StructField(x, T.LongType()) for x in ("token", "class", "label", "n", "room")])
+    tokens = materialize(flat_map(rows, schema, prefix), "tokens")
+    other = tokens.filter("room >= n").select("token", *(F.col(x).alias(f"{x}2") for x in ("class", "label", "n", "room")))
+    pairs = tokens.join(other, "token").filter(f"label <> label2 AND n2 <= n AND n2 >= n * {similarity!r}D - 1e-6 AND n2 <= room AND n <= room2")
+    return pairs.select(F.greatest("class", "class2").alias("a"), F.least("class", "class2").alias("b")).distinct()
+
+
 def few(rows: DataFrame) -> DataFrame:
     """rows, marked for a broadcast where they are at most BROADCAST_ROWS; else they are joined by a shuffle."""
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
@@ -143,27 +191,44 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarit
     bodies = materialize(marked.join(few(materialize(involved, "involved")), "__row", "left_semi").select("__class", F.col(text_col).alias("text")), "bodies")
 
     found, labels, used = None, None, None
-    for _ in range(rounds):
+
+    def labelled() -> DataFrame:
         if labels is None:
-            now = shared.withColumn("label", F.col("class"))
-            open_ = now
-        else:
-            now = shared.join(labels, F.col("class") == F.col("node"), "left").select("key", "class", "n", F.coalesce("root", "class").alias("label"))
-            held = used.join(labels, F.col("pivot") == F.col("node"), "left").groupBy("key").agg(F.collect_set(F.coalesce("root", "pivot")).alias("held"), F.collect_set("pivot").alias("done"))  # a pivot a round
+            return shared.withColumn("label", F.col("class"))
+        return shared.join(labels, F.col("class") == F.col("node"), "left").select("key", "class", "n", F.coalesce("root", "class").alias("label"))
+
+    for _ in range(rounds):
+        now = open_ = labelled()
+        if used is not None:
+            ends = used.withColumn("label", F.col("pivot")) if labels is None else used.join(labels, F.col("pivot") == F.col("node"), "left").select("key", "pivot", F.coalesce("root", "pivot").alias("label"))
+            held = ends.groupBy("key").agg(F.collect_set("label").alias("held"), F.collect_set("pivot").alias("done"))  # a pivot a round
             now = materialize(now.join(held, "key"), "labelled")
             open_ = now.filter(~F.array_contains("held", F.col("label")))
         pivots = materialize(open_.groupBy("key").agg(F.min(F.struct("class", "n", "label")).alias("p")).select("key", F.col("p.class").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.label").alias("pl")), "pivots")
         pairs = now.join(pivots, "key").filter("class <> pivot AND label <> pl")
-        if labels is not None:
+        if used is not None:
             pairs = pairs.filter(~F.array_contains("done", F.col("class")))
         likely = F.least("n", "pn") >= F.greatest("n", "pn") * similarity
         edges = materialize(pairs.filter(likely).select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct(), "candidates")
-        if edges.isEmpty():
+        if used is not None:
+            discard(now)
+        if pivots.isEmpty():
             break
+        used = pivots.select("key", "pivot") if used is None else used.unionByName(pivots.select("key", "pivot"))
+        if edges.isEmpty():  # by their sizes only: other classes of the keys can be similar
+            continue
         links = materialize(verified(edges, bodies, shingle, similarity), "links")
+        discard(edges)
+        found = links if found is None else found.unionByName(links)
+        labels = connected_components(found, "a", "b")
+    left = labelled() if used is None else labelled().join(used.withColumnRenamed("pivot", "class"), ["key", "class"], "left_anti")
+    several = left.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
+    rest = materialize(left.join(several, "key").select("class", "label").distinct(), "rest")
+    if not rest.isEmpty():
+        open_rows = materialize(few(rest).join(bodies, F.col("class") == F.col("__class")).select("class", "label", "text"), "open")
+        links = materialize(verified(materialize(rare_pairs(open_rows, shingle, similarity), "candidates"), bodies, shingle, similarity), "links")
         found = links if found is None else found.unionByName(links)
         labels = connected_components(found, "a", "b")
-        used = pivots.select("key", "pivot") if used is None else used.unionByName(pivots.select("key", "pivot"))
     if labels is None:
         rooted = classes.withColumn("__root", F.col("__class"))
     else:

@@ -64,3 +64,34 @@ def test_recall_of_keys(similarity):
         a, b = (np.unique(np.concatenate([common, rng.integers(0, 2**64, n - both, dtype=np.uint64)])) for _ in range(2))
         met += len(np.intersect1d(similar.keys_of(a), similar.keys_of(b))) > 0
     assert met / 300 >= 0.93
+
+
+def test_template(spark):
+    """Copies among pages of one template, which a pivot of their keys seldom meets, and sizes that a first pivot rules out."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    head, rows = [word() for _ in range(174)], []
+    for k in range(400):
+        tail = [word() for _ in range(30)]
+        rows.append((len(rows), " ".join(head + tail)))
+        if k % 4 == 0:
+            rows.append((len(rows), " ".join(head + tail[:12] + [word() for _ in range(18)])))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    root = brute(rows)
+    assert len(set(root)) < len(rows) - 80
+    assert {r.doc_id for r in similar.representatives(df).collect()} == {rows[k][0] for k in set(root)}
+
+
+def test_rare_first():
+    rng = np.random.default_rng(5)
+    counts = rng.integers(1, 5, similar.SLOTS).astype(np.int32)
+    for _ in range(500):
+        n = int(rng.integers(1, 60))
+        both = rng.integers(0, 2**64, n, dtype=np.uint64)
+        a, b = (np.unique(np.concatenate([both, rng.integers(0, 2**64, int(rng.integers(0, 1 + n // 4)), dtype=np.uint64)])) for _ in range(2))
+        if similar.jaccard(a, b) < 0.8:
+            continue
+        a, b = sorted((a, b), key=len, reverse=True)
+        (x, u), (y, v) = (similar.rare_first(h, counts, 0.8) for h in (a, b))
+        _, i, j = np.intersect1d(x, y, return_indices=True)
+        assert ((u[i] >= len(b)) & (v[j] >= len(a))).any()
