@@ -3,7 +3,8 @@
 A document's distinct shingle hashes, sorted, fall into parts by their leading bits; parts have some 4 to 16 shingles at two neighbouring levels, which the
 document's size picks, so similar documents share a level. The SimHash fingerprint of each of the first PARTS parts is a key, and so are the whole
 document's Golay keys (see simhash). An edit changes few parts, so documents of similarity 0.8 share a key almost surely (some 98 % by the
-parts alone at exactly 0.8, more above).
+parts alone at exactly 0.8, more above). Of sets of at most SHORT shingles, whose parts are too few, the smallest n - ceil(similarity * n) + 1 hashes are the
+keys: two similar sets share one of them (prefix filtering). Sets that can be similar to one of SHORT have both kinds.
 
 Documents of equal shingle sets are one class. Of the classes that share a key the smallest is compared with each of the others, by the exact
 Jaccard similarity of their shingle sets; verified links join components. Where a key still holds several components, another of them gives the next
@@ -16,6 +17,8 @@ representative is chosen; of wholly tied rows exactly one is it; an empty table
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,6 +35,7 @@ PARTS = 12
 ROUNDS = 3
 #: Row numbers of 8 bytes that a broadcast holds at most.
 BROADCAST_ROWS = 2_000_000
+SHORT = 64
 LEAST = 3  # shingles of a part that make a key
 #: Counters of shingles, 4 bytes each in a broadcast.
 SLOTS = 1 << 20
@@ -51,11 +55,17 @@ def majority(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.packbits(total * 2 > n, axis=1, bitorder="little").view("<u8").ravel()
 
 
-def keys_of(h: np.ndarray, parts: int = PARTS) -> np.ndarray:
+def keys_of(h: np.ndarray, parts: int = PARTS, similarity: float = 0.8) -> np.ndarray:
     """Keys of a document's sorted distinct shingle hashes."""
     if not len(h):
         return np.zeros(1, np.int64)
-    out = [golay_keys(majority(h, np.zeros(1, np.intp)))[0]]
+    out = []
+    if len(h) * similarity <= SHORT + 1e-6:
+        prefix = h[: len(h) - math.ceil(len(h) * similarity - 1e-6) + 1]
+        out.append(((prefix >> np.uint64(1)) | np.uint64(1 << 63)).view(np.int64))  # negative, unlike the other keys
+    if len(h) <= SHORT:
+        return np.unique(out[0])
+    out.append(golay_keys(majority(h, np.zeros(1, np.intp)))[0])
     level = max(0, (len(h) // 8).bit_length() - 1)
     for low in (level, level + 1):
         number = (h >> np.uint64(64 - low)).astype(np.int64) if low else np.zeros(len(h), np.int64)
@@ -169,7 +179,7 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarit
     def make():
         def f(b: pa.RecordBatch) -> list[pa.Array]:
             h = [np.unique(shingle_hashes(t, shingle)) for t in texts(b.column(text_col))]
-            return [pa.array([xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) for x in h], pa.int64()), pa.array([len(x) for x in h], pa.int32()), pa.array([keys_of(x).tobytes() for x in h], pa.binary())]
+            return [pa.array([xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) for x in h], pa.int64()), pa.array([len(x) for x in h], pa.int32()), pa.array([keys_of(x, similarity=similarity).tobytes() for x in h], pa.binary())]
 
         return f
 

@@ -95,3 +95,15 @@ def test_rare_first():
         (x, u), (y, v) = (similar.rare_first(h, counts, 0.8) for h in (a, b))
         _, i, j = np.intersect1d(x, y, return_indices=True)
         assert ((u[i] >= len(b)) & (v[j] >= len(a))).any()
+
+
+def test_keys_of_short_texts_miss_nothing():
+    rng = np.random.default_rng(6)
+    fresh = lambda n: rng.integers(0, 2**64, n, dtype=np.uint64)
+    for both in range(4, 60):
+        for _ in range(40):
+            own = int(rng.integers(0, both // 4 + 1))
+            common, x = fresh(both), int(rng.integers(0, own + 1))
+            a, b = np.unique(np.concatenate([common, fresh(x)])), np.unique(np.concatenate([common, fresh(own - x)]))
+            if similar.jaccard(a, b) >= 0.8 and min(len(a), len(b)) <= similar.SHORT:
+                assert len(np.intersect1d(similar.keys_of(a), similar.keys_of(b)))
