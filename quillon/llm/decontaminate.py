@@ -231,7 +231,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     def make():
         def f(b: pa.RecordBatch) -> list[pa.Array]:
             new = [None if t is None else t for t in b.column(text_col).to_pylist()]
-            words = [len(WORD.findall(t)) if t else 0 for t in new]
+            words = [len(WORD.findall(lower(t))) if t else 0 for t in new]
             hit = [0] * len(new)
             todo = [k for k, t in enumerate(new) if t]
             while todo:

@@ -137,6 +137,14 @@ def test_decontamination(spark, docs, none, slice_words):
     assert {r.n_words for r in decontaminate.find_contamination(more, bench.limit(0)).collect()} == {17, 27}
 
 
+def test_decontamination_coverage_counts_capitals(spark):
+    hit = " ".join(f"w{k}" for k in range(10))
+    bench = spark.createDataFrame([(1, hit)], "item_id bigint, text string")
+    rows = [(1, "AB " * 45 + hit), (2, hit.upper()), (3, "AB " * 8 + hit), (4, "AB " * 45)]
+    clean = {r.doc_id: r.text for r in decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id bigint, text string"), bench).collect()}
+    assert clean == {1: "AB " * 45, 4: "AB " * 45}
+
+
 @pytest.mark.parametrize("classes", [256, 1])
 def test_substring_dedup(docs, none, classes):
     df = docs.unionByName(docs.sparkSession.createDataFrame([(20, "xx" + "abcdefghij" * 4 + "q", ""), (21, "y" + "abcdefghij" * 4 + "zz", ""), (22, "p" + "abcdefghij" * 3 + "abcdefghi", "")], "doc_id bigint, text string, lang string"), allowMissingColumns=True)
