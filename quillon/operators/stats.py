@@ -181,25 +181,36 @@ def tau_b(cells: list[tuple[float, float, int]]) -> float | None:
 
 
 def bootstrap(rows: DataFrame, by: list[str], x: str, y: str, resamples: int = 2000, seed: int = 20260919) -> DataFrame:
-    """(by, rho, low, high): percentile interval of Spearman's rho over resamples of each group, from one generator a group."""
+    """(by, rho, low, high): percentile interval of Spearman's rho over resamples of each group's rows, from one generator a group.
+
+    A resample of rows is a multinomial draw of the counts of the group's distinct (x, y), which one task holds: what it costs is bounded by them, not by the rows.
+    """
     schema = T.StructType([*[rows.schema[c] for c in by], T.StructField("rho", T.DoubleType()), T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf[[x, y]].dropna().sort_values([x, y]).to_numpy(float)
+        own = pdf.dropna(subset=[x, y]).sort_values([x, y])
         key = [pdf[c].iloc[0] for c in by]
-        if len(own) < 3:
+        count = own["__n"].to_numpy(np.int64)
+        n = int(count.sum())
+        if n < 3:
             return pd.DataFrame([[*key, None, None, None]], columns=schema.names)
         rng = np.random.Generator(np.random.PCG64(seed))
-
-        def rho(m):
-            a, b = pd.Series(m[:, 0]).rank().to_numpy(), pd.Series(m[:, 1]).rank().to_numpy()
-            return np.corrcoef(a, b)[0, 1] if a.std() and b.std() else np.nan
-
-        draws = np.array([rho(own[rng.integers(0, len(own), len(own))]) for _ in range(resamples)])
+        places = [np.unique(own[c].to_numpy(float), return_inverse=True)[1] for c in (x, y)]
+
+        def rho(weights):
+            centred = []
+            for at in places:
+                ties = np.bincount(at, weights)
+                centred.append((np.cumsum(ties) - (ties - 1) / 2 - (n + 1) / 2)[at])  # average ranks less their mean
+            u, v = centred
+            spread = (weights @ (u * u)) * (weights @ (v * v))
+            return weights @ (u * v) / np.sqrt(spread) if spread else np.nan
+
+        draws = np.array([rho(rng.multinomial(n, count / n).astype(float)) for _ in range(resamples)])
         low, high = np.nanquantile(draws, [0.025, 0.975]) if (~np.isnan(draws)).any() else (None, None)
-        return pd.DataFrame([[*key, rho(own), low, high]], columns=schema.names)
+        return pd.DataFrame([[*key, rho(count.astype(float)), low, high]], columns=schema.names)
 
-    return rows.select(*by, x, y).groupBy(*by).applyInPandas(run, schema)
+    return rows.groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("__n")).groupBy(*by).applyInPandas(run, schema)
 
 
 def logistic_newton(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[np.ndarray, np.ndarray]:

@@ -148,8 +148,7 @@ def p_values(spark, sf):
 @query("bootstrap_intervals")
 def bootstrap(spark, sf):
     d = table(spark, sf, "documents").select("lang", F.col("n_chars").cast("double").alias("x"), F.length("text").cast("double").alias("y"))
-    cells = d.groupBy("lang", F.floor(F.col("x") / 500).cast("double").alias("x")).agg(F.avg("y").alias("y"))  # binned, so a group is small at any size
-    return stats.bootstrap(cells, ["lang"], "x", "y", resamples=500)
+    return stats.bootstrap(d, ["lang"], "x", "y")
 
 
 @query("logistic_wald")

@@ -113,3 +113,21 @@ def test_greedy_split(spark):
         k = max(range(3), key=lambda i: (target[i] - have[i], -i))
         have[k] += s
         assert got[c] == ("TRAIN", "VALIDATION", "TEST")[k]
+
+
+def test_bootstrap_resamples_rows(spark, tmp_path):
+    import pandas as pd
+
+    from quillon.plans import stat_queries
+
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 12, 300)
+    own = pd.DataFrame({"g": "a", "x": x.astype(float), "y": (x + rng.integers(0, 20, 300)).astype(float)})
+    r = stats.bootstrap(spark.createDataFrame(own), ["g"], "x", "y").first()
+    draws = [own.iloc[rng.integers(0, 300, 300)][["x", "y"]].rank().corr().iloc[0, 1] for _ in range(1000)]
+    assert np.allclose([r.low, r.high], np.quantile(draws, [0.025, 0.975]), atol=0.02) and abs(r.rho - own.x.rank().corr(own.y.rank())) < 1e-9
+    rows = [("a", int(30 * a), "z" * int(b)) for a, b in zip(own.x, own.y)]
+    docs = spark.createDataFrame(rows, "lang string, n_chars bigint, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    same = stats.bootstrap(docs.selectExpr("lang", "CAST(n_chars AS DOUBLE) AS x", "CAST(length(text) AS DOUBLE) AS y"), ["lang"], "x", "y", resamples=2000).first()
+    assert stat_queries.QUERIES["bootstrap_intervals"](spark, str(tmp_path)).first() == same and same.rho == r.rho
