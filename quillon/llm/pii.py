@@ -98,7 +98,7 @@ def base_spans(text: str) -> list[Span]:
 
 # ---- candidates
 
-_SPELLED = re.compile(r"(?:\(dot\)|\[dot\]| dot )", re.I)
+_SPELLED = re.compile(r"(?:\(dot\)|\[dot\]| dot |\(at\)|\[at\]| at )", re.I)
 _SPELLED_AT = re.compile(r"([A-Za-z0-9._%+-]{1,64}) ?(?:@|\(at\)|\[at\]| at ) ?([A-Za-z0-9-]{1,63}(?:(?:\.| ?\(dot\) ?| ?\[dot\] ?| dot )[A-Za-z0-9-]{1,63})+)", re.I)
 _HEX = frozenset("0123456789abcdefABCDEF:")
 _LONG = re.compile(r"\(?[0-9][0-9 ()./-]{5,}[0-9]")
@@ -214,13 +214,13 @@ def examples(n: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray
     word = lambda: "".join(pick(["er", "an", "on", "the", "ti", "es", "or"]) for _ in range(int(rng.integers(1, 4))))
     hexes = lambda k: ":".join("%x" % v for v in rng.integers(1, 65536, k))
     positive = {
-        0: lambda: f"{word()} {pick(['(at)', '[at]', 'at'])} {word()} {pick(['dot', '(dot)'])} {pick(['com', 'org', 'net', 'de', 'fr'])}",
+        0: lambda: f"{word()} {pick(['(at)', '[at]', 'at'])} {word()}{pick([' dot ', ' (dot) ', '.'])}{pick(['com', 'org', 'net', 'de', 'fr'])}",
         1: lambda: pick([hexes(8), f"fe80::{hexes(4)}", f"2001:db8::{hexes(3)}"]),
         2: lambda: pick([" ", ".", "-", ""]).join(digits(4) for _ in range(4)),
         3: lambda: pick(["({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "0{} {} {}"]).format(digits(3), digits(3), digits(4)),
     }
     negative = {
-        0: lambda: f"{word()} at {word()} dot {word()}",
+        0: lambda: f"{word()} at {word()}{pick([' dot ', '.'])}{word()}",
         1: lambda: pick([f"{digits(2)}:{digits(2)}:{digits(2)}:{digits(2)}", f"{digits(1)}:{digits(1)}:{digits(1)}:{digits(1)}"]),
         2: lambda: pick([digits(13), digits(16), digits(14), f"{digits(6)}-{digits(8)}", f"{digits(8)} {digits(6)}"]),
         3: lambda: pick([f"20{digits(2)}-0{1 + int(rng.integers(9))}-1{digits(1)}", digits(8), digits(10), f"{digits(4)}/{digits(4)}", f"{digits(2)}.{digits(2)}.{digits(3)}.{digits(2)}", f"{digits(5)} {digits(5)}"]),

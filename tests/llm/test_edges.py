@@ -244,3 +244,9 @@ def test_chat(spark):
     r = chat_format.chat_format(parts, parts_col="parts").first()
     assert r.formatted == "<|im_start|>user\nsee <|image:0:512|><|document:1:512|><|im_end|>\n" and [a.ref for a in r.attachments] == ["a.png", "b.pdf"] and r.expanded_tokens == 1024
     assert chat_format.chat_format(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("at", ["(at)", "[at]", "at"])
+def test_pii_candidates_spelled_at(at):
+    text = f"write to john {at} example.com today"
+    assert (9, 0, text.index(" today")) in pii.candidates(text)
