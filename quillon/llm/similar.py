@@ -9,10 +9,15 @@ keys: two similar sets share one of them (prefix filtering). Sets that can be si
 Documents of equal shingle sets are one class. Of the classes that share a key the smallest is compared with each of the others, by the exact
 Jaccard similarity of their shingle sets; verified links join components. Where a key still holds several components, another of them gives the next
 pivot, ROUNDS times: comparisons grow with the postings, not with the square of a group. Keys whose other classes then lie in several components are
-open: their classes are joined by rare shingles (see rare_pairs), which misses no similar pair of theirs, so every similar pair that shares a key ends in one component.
+open: their classes are joined by rare shingles (see rare_pairs), which misses no similar pair of theirs, so every similar pair that shares a key ends in one component:
+ROUNDS is how often the cheap comparison is tried, not a limit.
+
+A candidate pair's texts are fetched only if the parities of SKETCH counters of their shingles allow the similarity: each shingle that one set has and the other hasn't
+changes one parity, so more different parities than that similarity leaves room for rule a pair out for certain.
 
 Defined cases: null and empty texts have no shingles and form one group; texts of fewer words than a shingle are one shingle; null ids come last when a group's
-representative is chosen; of wholly tied rows exactly one is it; an empty table gives an empty result.
+representative is chosen; of wholly tied rows exactly one is it; an empty table gives an empty result; of very long texts all shingles count; columns named like a result column are replaced by it, names that start with two
+underscores are reserved.
 """
 
 from __future__ import annotations
@@ -22,11 +27,11 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import texts
+from quillon.llm.common import row_key, texts
 from quillon.llm.simhash import _xxh, golay_keys, shingles
 from quillon.operators.graph import connected_components
 from quillon.runtime import discard, flat_map, map_columns, materialize
@@ -39,7 +44,11 @@ SHORT = 64
 LEAST = 3  # shingles of a part that make a key
 #: Counters of shingles, 4 bytes each in a broadcast.
 SLOTS = 1 << 20
-MARK = T.StructType([T.StructField("__class", T.LongType()), T.StructField("__n", T.IntegerType()), T.StructField("__keys", T.BinaryType())])
+#: Parities of a class.
+SKETCH = 1024
+#: Earlier shingles that a shingle of a prefix carries, so that a pair comes from its first common one alone; beyond them it can come twice.
+EARLIER = 64
+MARK = T.StructType([T.StructField("__class", T.LongType()), T.StructField("__n", T.IntegerType()), T.StructField("__keys", T.BinaryType()), T.StructField("__sketch", T.ArrayType(T.LongType()))])
 
 
 def shingle_hashes(text: bytes, k: int) -> np.ndarray:
@@ -90,6 +99,24 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return same / (len(a) + len(b) - same)
 
 
+def parities(h: np.ndarray, size: int = SKETCH) -> np.ndarray:
+    """Parities of the numbers of a set's hashes in each slot, as 64-bit words."""
+    odd = np.bincount((h >> np.uint64(8)).astype(np.int64) & (size - 1), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def room_for(n: Column, m: Column, similarity: float) -> Column:
+    """The most hashes that only one of two similar sets of n and m hashes has."""
+    return n + m - 2 * F.ceil((n + m) * (similarity / (1 + similarity)) - 1e-6)
+
+
+def allowed(edges: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) of classes that their sketches don't rule out."""
+    of = lambda x: classes.select(F.col("__class").alias(x), F.col("__n").alias(f"n{x}"), F.col("__sketch").alias(f"s{x}"))
+    different = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return edges.join(of("a"), "a").join(of("b"), "b").filter(different <= room_for(F.col("na"), F.col("nb"), similarity)).select("a", "b")
+
+
 def verified(edges: DataFrame, bodies: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Edges (a, b) of classes whose similarity is reached; bodies: (class, text)."""
     a, b = bodies.select(F.col("__class").alias("a"), F.col("text").alias("ta")), bodies.select(F.col("__class").alias("b"), F.col("text").alias("tb"))
@@ -145,12 +172,21 @@ def rare_pairs(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
             size = [len(x) for x in own]
             row = [np.repeat(x, size) for x in (b.column("class").to_numpy(), b.column("label").to_numpy(), np.array([len(x) for x in h], np.int64))]
             token, room = np.concatenate([*own, np.zeros(0, np.uint64)]), np.concatenate([*room, np.zeros(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), *map(pa.array, row), pa.array(room)], names=["token", "class", "label", "n", "room"])
-
-    schema = T.StructType([T.StructField(x, T.LongType()) for x in ("token", "class", "label", "n", "room")])
+            word = [parities(x, 256).view("<i8") for x in h]
+            words = [np.repeat(np.array([w[k] for w in word], np.int64), size) for k in range(4)]
+            before = [x[: min(k, EARLIER)].view(np.int64) for x in own for k in range(len(x))]
+            ends = np.cumsum([0, *map(len, before)]).astype(np.int32)
+            earlier = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*before, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), *map(pa.array, row), pa.array(room), *map(pa.array, words), earlier], names=schema.names)
+
+    names = ("class", "label", "n", "room", "w0", "w1", "w2", "w3")
+    schema = T.StructType([T.StructField(x, T.LongType()) for x in ("token", *names)] + [T.StructField("earlier", T.ArrayType(T.LongType()))])
     tokens = materialize(flat_map(rows, schema, prefix), "tokens")
-    other = tokens.filter("room >= n").select("token", *(F.col(x).alias(f"{x}2") for x in ("class", "label", "n", "room")))
-    pairs = tokens.join(other, "token").filter(f"label <> label2 AND n2 <= n AND n2 >= n * {similarity!r}D - 1e-6 AND n2 <= room AND n <= room2")
+    other = tokens.filter("room >= n").select("token", *(F.col(x).alias(f"{x}2") for x in (*names, "earlier")))
+    sizes = f"label <> label2 AND (n2 < n OR n2 = n AND class2 < class) AND n2 >= n * {similarity!r}D - 1e-6 AND n2 <= room AND n <= room2"
+    different = sum((F.bit_count(F.col(f"w{k}").bitwiseXOR(F.col(f"w{k}2"))) for k in range(4)), F.lit(0))
+    first = F.coalesce(~F.arrays_overlap("earlier", "earlier2"), F.lit(True))
+    pairs = tokens.join(other, (tokens["token"] == other["token"]) & F.expr(sizes) & (different <= room_for(F.col("n"), F.col("n2"), similarity)) & first)
     return pairs.select(F.greatest("class", "class2").alias("a"), F.least("class", "class2").alias("b")).distinct()
 
 
@@ -160,32 +196,40 @@ def few(rows: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, rounds: int = ROUNDS) -> DataFrame:
-    """docs without all rows of a group but its representative. Texts stay in place while the rows that go are few enough to broadcast."""
-    marked, of_class = grouped(docs, id_col, text_col, shingle, similarity, rounds)
-    gone = marked.select("__row", "__class").join(of_class, "__class").filter("__row <> __best.r").select("__row")
-    return marked.join(few(materialize(gone, "gone")), "__row", "left_anti").select(*docs.columns)
+    """docs without all rows of a group but its representative. Texts are never copied, and stay in place while the rows that go are few enough to broadcast."""
+    keyed = docs.select("*", *row_key(id_col, text_col))
+    light, of_class = grouped(keyed, id_col, text_col, shingle, similarity, rounds)
+    gone = light.join(of_class, "__class").filter("__k1 <> __best.k1 OR __k2 <> __best.k2").select("__k1", "__k2").distinct()
+    left = keyed.join(few(materialize(gone, "gone")), ["__k1", "__k2"], "left_anti")
+    twins = materialize(light.groupBy("__k1", "__k2").count().filter("count > 1").select("__k1", "__k2"), "twins")  # rows of one id and one text
+    if twins.isEmpty():
+        return left.select(*docs.columns)
+    one = left.join(few(twins), ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"])
+    return left.join(few(twins), ["__k1", "__k2"], "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, rounds: int = ROUNDS) -> DataFrame:
     """docs with group_id (the smallest id of the group) and representative, true for one row of each group."""
-    marked, of_class = grouped(docs, id_col, text_col, shingle, similarity, rounds)
-    names = [c for c in marked.columns if not c.startswith("__") and c not in ("group_id", "representative")]
-    return marked.join(of_class, "__class").select(*names, F.col("__best.i").alias("group_id"), (F.col("__row") == F.col("__best.r")).alias("representative"))
+    numbered = materialize(docs.drop(*({"group_id", "representative"} - {id_col, text_col})).withColumns({"__k1": F.monotonically_increasing_id(), "__k2": F.lit(0).cast("long")}), "numbered")
+    light, of_class = grouped(numbered, id_col, text_col, shingle, similarity, rounds)
+    best = light.select("__k1", "__class").join(of_class, "__class").select("__k1", F.col("__best.i").alias("group_id"), (F.col("__k1") == F.col("__best.k1")).alias("representative"))
+    return numbered.join(best, "__k1").drop("__k1", "__k2")
 
 
-def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """docs as a table with __row and __class, and (__class, __best) with the id and row of the group's representative."""
+def grouped(keyed: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """keyed: rows with __k1, __k2. Gives (__k1, __k2, __class) of all rows, and (__class, __best) with the id (i) and key (k1, k2) of the group's representative."""
 
     def make():
         def f(b: pa.RecordBatch) -> list[pa.Array]:
             h = [np.unique(shingle_hashes(t, shingle)) for t in texts(b.column(text_col))]
-            return [pa.array([xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) for x in h], pa.int64()), pa.array([len(x) for x in h], pa.int32()), pa.array([keys_of(x, similarity=similarity).tobytes() for x in h], pa.binary())]
+            sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1, dtype=np.int32) * (SKETCH // 64)), pa.array(np.concatenate([*(parities(x) for x in h), np.zeros(0, np.int64)])))
+            return [pa.array([xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) for x in h], pa.int64()), pa.array([len(x) for x in h], pa.int32()), pa.array([keys_of(x, similarity=similarity).tobytes() for x in h], pa.binary()), sketch]
 
         return f
 
-    marked = materialize(map_columns(docs, MARK, make).withColumn("__row", F.monotonically_increasing_id()), "marked")
-    first = F.min(F.struct(F.col(id_col).isNull().alias("u"), F.col(id_col).alias("i"), F.col("__row").alias("r")))
-    classes = materialize(marked.groupBy("__class", "__n").agg(first.alias("__first"), F.min("__keys").alias("__keys")), "classes")  # a class's keys are equal
+    light = materialize(map_columns(keyed.select("__k1", "__k2", F.col(id_col).alias("__id"), text_col), MARK, make, drop=(text_col,)), "marked")
+    first = F.min(F.struct(F.col("__id").isNull().alias("u"), F.col("__id").alias("i"), F.col("__k1").alias("k1"), F.col("__k2").alias("k2")))
+    classes = materialize(light.groupBy("__class", "__n").agg(first.alias("__first"), F.min("__keys").alias("__keys"), F.min("__sketch").alias("__sketch")), "classes")  # a class's keys and sketches are equal
 
     def explode(batches):
         for b in batches:
@@ -197,8 +241,9 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarit
     postings = flat_map(classes.select("__class", "__n", "__keys"), schema, explode)
     span = materialize(postings.groupBy("key").agg(F.min("class").alias("__a"), F.max("class").alias("__b")).filter("__a < __b").select("key"), "span")  # a plain shuffle in the join, which Spark can split
     shared = materialize(postings.join(span, "key"), "shared")
-    involved = classes.join(shared.select(F.col("class").alias("__class")).distinct(), "__class", "left_semi").select(F.col("__first.r").alias("__row"))
-    bodies = materialize(marked.join(few(materialize(involved, "involved")), "__row", "left_semi").select("__class", F.col(text_col).alias("text")), "bodies")
+    involved = classes.join(shared.select(F.col("class").alias("__class")).distinct(), "__class", "left_semi").select("__class", F.col("__first.k1").alias("__k1"), F.col("__first.k2").alias("__k2"))
+    found_in = keyed.select("__k1", "__k2", F.col(text_col).alias("text")).join(few(materialize(involved, "involved")), ["__k1", "__k2"])
+    bodies = materialize(found_in.select("__class", "text").dropDuplicates(["__class"]), "bodies")  # rows of one id and one text are there once
 
     found, labels, used = None, None, None
 
@@ -227,7 +272,7 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarit
         used = pivots.select("key", "pivot") if used is None else used.unionByName(pivots.select("key", "pivot"))
         if edges.isEmpty():  # by their sizes only: other classes of the keys can be similar
             continue
-        links = materialize(verified(edges, bodies, shingle, similarity), "links")
+        links = materialize(verified(materialize(allowed(edges, classes, similarity), "allowed"), bodies, shingle, similarity), "links")
         discard(edges)
         found = links if found is None else found.unionByName(links)
         labels = connected_components(found, "a", "b")
@@ -245,4 +290,4 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarit
         rooted = classes.join(labels, F.col("__class") == F.col("node"), "left").withColumn("__root", F.coalesce("root", "__class")).drop("node", "root")
     best = rooted.groupBy("__root").agg(F.min("__first").alias("__best"))
     of_class = materialize(rooted.join(best, "__root").select("__class", "__best"), "groups")
-    return marked, of_class
+    return light.select("__k1", "__k2", "__class"), of_class
