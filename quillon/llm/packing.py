@@ -10,7 +10,7 @@ Token ids come from the tokenizer file; texts are cut before blanks that a non-b
 and each distinct cut is encoded once and remembered, up to CACHE cuts in a worker.
 
 Defined cases: a null text is empty and gives the end token alone; rows with a null id are packed like others; repeated rows are packed each; an
-empty table gives an empty result; columns other than the id and the text are left out.
+empty table gives an empty result; very long texts are tokenised whole and cut into pieces; columns other than the id and the text are left out.
 """
 
 from __future__ import annotations
@@ -218,7 +218,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     shared = spark.sparkContext.broadcast(slots_by_length(plan(histogram, capacity)))
     before = F.sum("n").over(W.partitionBy("length").orderBy("__task").rowsBetween(W.unboundedPreceding, -1))
     bases = counts.select("__task", "length", F.coalesce(before, F.lit(0)).alias("__base"))  # a row a task and length
-    ranked = pieces.join(bases, ["__task", "length"])
+    ranked = pieces.join(bases.hint("merge"), ["__task", "length"])  # bases grow with the tasks, so they are never broadcast
     kept = [c for c in pieces.columns if not c.startswith("__")]
     schema = T.StructType([pieces.schema[c] for c in kept] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
