@@ -12,6 +12,9 @@
    again means that all are; what lies between the two is halved, and its halves judged in the next round, nine rounds at most.
 5. Documents get their removed spans by one join.
 
+Passages that repeat but are shorter than `length` are not removed; where `passage` is given, a shorter length, the bytes of strings of that length that repeat are
+counted as well. Both come from one search: bytes that `length` covers lie in runs that `passage` covers, so the search for `length` reads those runs only.
+
 Defined cases: null and empty texts have no bytes; texts shorter than `length` lose nothing; rows are documents, so repeated rows repeat each other; an
 empty table gives an empty result; input columns named like a result column are replaced by it. Removal can split a character; kept bytes are binary.
 """
@@ -33,6 +36,9 @@ from quillon.runtime import flat_map, map_columns, materialize
 
 LENGTH = 400
 GRAM = 100
+#: Bytes of a shorter passage that is reported, not removed: some 40 words.
+PASSAGE = 256
+PASSAGE_GRAM = 64
 CLASSES = 256
 #: Bytes that are hashed at once.
 CHUNK = 1 << 20
@@ -280,20 +286,52 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
+def long_runs(keyed: DataFrame, spans: DataFrame, text_col: str, length: int) -> DataFrame:
+    """(__k1, __k2, base, text) of the runs of at least `length` bytes that the rows' spans cover."""
+    RUN = T.StructType([*long("__k1", "__k2", "base"), T.StructField("text", T.BinaryType())])
+
+    def cut(batches):
+        for b in batches:
+            out = []
+            for k1, k2, text, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b.column(2)), b.column(3).to_pylist()):
+                out += [(k1, k2, s, text[s:e]) for s, e in merged([(x["start"], x["end"]) for x in own]) if e - s >= length]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.binary() if k == 3 else pa.int64()) for k in range(4)], names=RUN.names)
+
+    able = spans.filter(F.expr("aggregate(spans, 0L, (a, x) -> a + x.end - x.start)") >= length)
+    return flat_map(keyed.select("__k1", "__k2", F.col(text_col).alias("__text")).join(able, ["__k1", "__k2"]).select("__k1", "__k2", "__text", "spans"), RUN, cut)
+
+
+def nested_spans(keyed: DataFrame, text_col: str, length: int, q: int, classes: int, passage: int, passage_q: int) -> DataFrame:
+    """(__k1, __k2, passages, spans): spans for the length `passage`, and those for `length`, sought in the runs that the former cover."""
+    short = materialize(repeated_spans(keyed, text_col, passage, passage_q, classes), "passages")
+    runs_ = long_runs(keyed, short, text_col, length).select(F.col("__k1").alias("__d1"), F.col("__k2").alias("__d2"), "base", "text")
+    runs_ = materialize(runs_.select("*", F.xxhash64("__d1", "__d2", "base").alias("__k1"), F.xxhash64("base", "__d2", "__d1").alias("__k2")), "runs")
+    found = repeated_spans(runs_, "text", length, q, classes).join(runs_.select("__k1", "__k2", "__d1", "__d2", "base").distinct(), ["__k1", "__k2"])
+    moved = F.transform("spans", lambda x: F.struct((x["start"] + F.col("base")).alias("start"), (x["end"] + F.col("base")).alias("end")))
+    whole = found.select("__d1", "__d2", moved.alias("spans")).groupBy(F.col("__d1").alias("__k1"), F.col("__d2").alias("__k2")).agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return short.withColumnRenamed("spans", "passages").join(whole, ["__k1", "__k2"], "left")
+
+
 RESULT = T.StructType([*long("n_bytes", "n_removed", "n_spans"), T.StructField("kept", T.BinaryType())])
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, q: int = GRAM, classes: int = CLASSES, result: T.StructType = RESULT) -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans and the kept bytes (or kept_sha256, where result names that)."""
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, q: int = GRAM, classes: int = CLASSES, digest: bool = False, passage: int | None = None, passage_q: int = PASSAGE_GRAM) -> DataFrame:
+    """docs with n_bytes, n_removed, n_spans and the kept bytes (kept_sha256 with digest), and n_passage_bytes where passage is given."""
     keyed = docs.select("*", *row_key(id_col, text_col))
-    spans = repeated_spans(keyed, text_col, length, q, classes)
-    digest = result.names[-1] != "kept"
+    if passage:
+        spans = nested_spans(keyed, text_col, length, q, classes, passage, passage_q)
+    else:
+        spans = repeated_spans(keyed, text_col, length, q, classes)
+    result = T.StructType([*long("n_bytes", "n_removed", "n_spans"), T.StructField("kept_sha256", T.StringType()) if digest else T.StructField("kept", T.BinaryType()), *(long("n_passage_bytes") if passage else [])])
+    drop = ("__k1", "__k2", "__spans", "__passages")
+
+    def cuts(b: pa.RecordBatch, name: str) -> list[list[tuple[int, int]]]:
+        return [merged([(s["start"], s["end"]) for s in own or ()]) for own in b.column(name).to_pylist()]
 
     def make():
         def f(b: pa.RecordBatch) -> list[pa.Array]:
             rows = []
-            for text, own in zip(texts(b.column(text_col)), b.column("__spans").to_pylist()):
-                cut = merged([(s["start"], s["end"]) for s in own or ()])
+            for text, cut in zip(texts(b.column(text_col)), cuts(b, "__spans")):
                 kept, pos = [], 0
                 for s, e in cut:
                     kept.append(text[pos:s])
@@ -301,17 +339,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 kept.append(text[pos:])
                 out = b"".join(kept)
                 rows.append((len(text), len(text) - len(out), len(cut), hashlib.sha256(out).hexdigest() if digest else out))
-            return [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string() if digest else pa.binary()))]
+            more = [pa.array([sum(e - s for s, e in cut) for cut in cuts(b, "__passages")], pa.int64())] if passage else []
+            return [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string() if digest else pa.binary()))] + more
 
         return f
 
-    joined = keyed.join(spans.withColumnRenamed("spans", "__spans"), ["__k1", "__k2"], "left")
-    return map_columns(joined, result, make, drop=("__k1", "__k2", "__spans"))
-
-
-DIGEST = T.StructType([*long("n_bytes", "n_removed", "n_spans"), T.StructField("kept_sha256", T.StringType())])
+    joined = keyed.join(spans.withColumnsRenamed({"spans": "__spans", "passages": "__passages"}), ["__k1", "__k2"], "left")
+    return map_columns(joined, result, make, drop=drop)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return substring_dedup(docs, result=DIGEST).select("doc_id", *DIGEST.names)
+    return substring_dedup(docs, digest=True, passage=PASSAGE).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes")
