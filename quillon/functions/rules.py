@@ -1,11 +1,15 @@
-"""Motif catalogue as data, site scanning and risk scoring as expressions, windows and aggregates."""
+"""Motif catalogue as data, site scanning over arrays of residues, risk scoring as expressions and aggregates."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.functions.sequences import REGIONS, normalize, region_of, risk_level, validation_error
+from quillon.runtime import flat_map
 
 #: Motif, category, base penalty, in reporting order. The two glycosylation rules are patterns, not fixed motifs.
 CATALOGUE = (
@@ -30,46 +34,88 @@ def chains(pairs: DataFrame, *keep: str) -> DataFrame:
     return out.withColumn("error", validation_error(F.col("seq")))
 
 
-def _n_glyco_starts(seq: Column) -> Column:
-    """Starts of N[^P][ST], left to right without overlap."""
-    every = F.filter(F.sequence(F.lit(1), F.greatest(F.length(seq) - 2, F.lit(1))), lambda p: seq.substr(p, F.lit(3)).rlike("^N[^P][ST]$"))
-    keep = F.aggregate(every, F.array().cast("array<int>"), lambda acc, p: F.when((F.size(acc) == 0) | (p >= F.element_at(acc, -1) + 3), F.concat(acc, F.array(p))).otherwise(acc))
-    return F.when(F.length(seq) >= 3, keep).otherwise(F.array().cast("array<int>"))
-
-
-def hits_at(seq: Column, p: Column, version: str, frozen: Column | None) -> Column:
-    """Structs of the motifs that start at position p."""
-    two, three, one = seq.substr(p, F.lit(2)), seq.substr(p, F.lit(3)), seq.substr(p, F.lit(1))
-    hit = lambda motif, category, order, width: F.struct(motif.alias("motif"), F.lit(category).alias("category"), F.lit(order).alias("motif_order"), F.lit(width).alias("width"))
-    out = [F.when((one if len(m) == 1 else two) == m, hit(F.lit(m), c, k, len(m))) for k, (m, c, _) in enumerate(CATALOGUE)]
-    sequon = F.array_contains(frozen, p) if version == "frozen_v1" else three.rlike("^N[^P][ST]$")
-    out.append(F.when(sequon, hit(three, "n_glyco", len(CATALOGUE), 3)))
-    dense = lambda w: F.length(F.regexp_replace(seq.substr(w, F.lit(WINDOW)), "[^ST]", "")) >= MIN_ST
-    windows = F.sequence(F.greatest(p - (WINDOW - 1), F.lit(1)), F.least(p, F.length(seq) - (WINDOW - 1)))
-    hot = one.isin("S", "T") & (seq.substr(p + 1, F.lit(1)) != "P") & (F.length(seq) >= WINDOW)
-    out.append(F.when(F.when(hot, F.exists(windows, dense)).otherwise(False), hit(one, "o_glyco", len(CATALOGUE) + 1, 1)))
-    return F.array_compact(F.array(*out))
-
-
-def scan_sites(rows: DataFrame, *keep: str, regions=REGIONS, version: str = "overlap_v2", outer: bool = False) -> DataFrame:
+MOTIFS = {m: (c, k) for k, (m, c, _) in enumerate(CATALOGUE)}
+SEQUON, HOTSPOT = len(CATALOGUE), len(CATALOGUE) + 1
+CATEGORY_OF = [c for _, c, _ in CATALOGUE] + list(GLYCO)
+
+
+def _without_overlap(at: np.ndarray, width: int) -> np.ndarray:
+    """Of sorted positions those that stay from left to right without overlap; positions of different sequences are further apart than the width."""
+    keep, last = [], -width
+    for p in at.tolist():
+        if p >= last + width:
+            keep.append(p)
+            last = p
+    return np.array(keep, np.int64)
+
+
+def find_hits(data: np.ndarray, version: str, categories: frozenset[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and motif numbers of all hits in residues, whose sequences are separated by WINDOW line feeds; unordered."""
+    found: list[tuple[np.ndarray, int]] = []
+    for motif, (category, number) in MOTIFS.items():
+        if category in categories:
+            hit = data[: len(data) - len(motif) + 1] == ord(motif[0])
+            if len(motif) == 2:
+                hit = hit & (data[1:] == ord(motif[1]))
+            found.append((np.flatnonzero(hit), number))
+    serine_threonine = (data == ord("S")) | (data == ord("T"))
+    if "n_glyco" in categories:
+        start = (data[:-2] == ord("N")) & (data[1:-1] != ord("P")) & (data[1:-1] != 10) & serine_threonine[2:]
+        at = np.flatnonzero(start)
+        found.append((_without_overlap(at, 3) if version == "frozen_v1" else at, SEQUON))
+    if "o_glyco" in categories:
+        count = np.concatenate(([0], np.cumsum(serine_threonine)))
+        breaks = np.concatenate(([0], np.cumsum(data == 10)))
+        dense = (count[WINDOW:] - count[:-WINDOW] >= MIN_ST) & (breaks[WINDOW:] == breaks[:-WINDOW])
+        before = np.concatenate((np.zeros(WINDOW, np.int64), np.cumsum(dense), np.full(WINDOW - 1, dense.sum())))  # at p + WINDOW: dense windows that start at p or earlier
+        p = np.flatnonzero(serine_threonine[:-1] & (data[1:] != ord("P")))
+        found.append((p[before[p + WINDOW] > before[p]], HOTSPOT))
+    return np.concatenate([f for f, _ in found]), np.concatenate([np.full(len(f), k, np.int64) for f, k in found])
+
+
+def scan_sites(rows: DataFrame, *keep: str, regions=REGIONS, version: str = "overlap_v2", outer: bool = False, categories: tuple[str, ...] = tuple(dict.fromkeys(CATEGORY_OF))) -> DataFrame:
     """A row per site of the valid chains: kept columns, chain, chain_order, motif, category, pos_start, pos_end, region, context.
 
-    outer keeps chains without a site, with null site columns.
+    outer keeps chains without a site, with null site columns. Only motifs of the categories are sought. Batches are scanned as one array of residues, in Arrow.
     """
     if version not in VERSIONS:
         raise ValueError(f"unsupported rule version {version!r}")
-    valid = F.col("error").isNull()
-    seq = F.col("seq")
-    base = rows.withColumn("__frozen", F.when(valid, _n_glyco_starts(seq))) if version == "frozen_v1" else rows
-    frozen = F.col("__frozen") if version == "frozen_v1" else None
-    found = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(seq), F.lit(1))), lambda p: F.transform(hits_at(seq, p, version, frozen), lambda h: F.struct(p.alias("p"), h.alias("h")))))
-    generator = F.explode_outer if outer else F.explode
-    sites = base.select(*keep, "chain", "chain_order", "seq", "error", generator(F.when(valid, found)).alias("s"))
-    p, h = F.col("s.p"), F.col("s.h")
-    end = p + h["width"] - 1
-    low = F.greatest(p - FLANK, F.lit(1))
-    context = F.when(h["category"].isin(*GLYCO), seq.substr(low, F.least(end + FLANK, F.length(seq)) - low + 1)).when(p.isNotNull(), "")
-    return sites.select(*keep, "chain", "chain_order", "error", F.length("seq").alias("seq_length"), h["motif"].alias("motif"), h["category"].alias("category"), h["motif_order"].alias("motif_order"), p.alias("pos_start"), end.alias("pos_end"), F.when(p.isNotNull(), region_of(p, regions)).alias("region"), context.alias("context"))
+    wanted = frozenset(categories)
+    own = [*keep, "chain", "chain_order", "error"]
+    source = rows.select(*own, "seq")
+    text, number = T.StringType(), T.IntegerType()
+    site = [T.StructField("motif", text), T.StructField("category", text), T.StructField("motif_order", number), T.StructField("pos_start", number), T.StructField("pos_end", number), T.StructField("context", text)]
+    schema = T.StructType([source.schema[c] for c in own] + [T.StructField("seq_length", number)] + site)
+    gap = "\n" * WINDOW
+
+    def run(batches):
+        for b in batches:
+            seqs, errors = b.column("seq").to_pylist(), b.column("error").to_pylist()
+            valid = [s if e is None and s else "" for s, e in zip(seqs, errors)]
+            joined = gap.join(valid) + gap
+            data = np.frombuffer(joined.encode("ascii"), np.uint8)
+            lengths = np.array([len(s) for s in valid], np.int64)
+            starts = np.cumsum(lengths + WINDOW) - lengths - WINDOW
+            at, kind = find_hits(data, version, wanted)
+            order = np.lexsort((kind, at))
+            at, kind = at[order], kind[order]
+            owner = np.searchsorted(starts, at, "right") - 1
+            width = np.where(kind == SEQUON, 3, np.where((kind == HOTSPOT) | (kind == MOTIFS["M"][1]), 1, 2))
+            first = at - starts[owner]
+            motif = [joined[p : p + w] for p, w in zip(at.tolist(), width.tolist())]
+            context = [joined[max(s, p - FLANK) : min(e, p + w + FLANK)] if k >= SEQUON else "" for p, w, k, s, e in zip(at.tolist(), width.tolist(), kind.tolist(), starts[owner].tolist(), (starts + lengths)[owner].tolist())]
+            columns = [pa.array(motif, pa.string()), pa.array([CATEGORY_OF[k] for k in kind.tolist()], pa.string()), pa.array(kind, pa.int32()), pa.array(first + 1, pa.int32()), pa.array(first + width, pa.int32()), pa.array(context, pa.string())]
+            if outer:
+                bare = np.setdiff1d(np.arange(len(valid)), owner)
+                owner = np.concatenate((owner, bare))
+                columns = [pa.concat_arrays([c, pa.nulls(len(bare), c.type)]) for c in columns]
+            take = pa.array(owner)
+            size = pa.array([len(s) if s is not None else None for s in seqs], pa.int32()).take(take)
+            yield pa.RecordBatch.from_arrays([b.column(c).take(take) for c in own] + [size] + columns, names=schema.names)
+
+    sites = flat_map(source, schema, run)
+    region = F.when(F.col("pos_start").isNotNull(), region_of(F.col("pos_start"), regions))
+    return sites.select(*own, "seq_length", "motif", "category", "motif_order", "pos_start", "pos_end", region.alias("region"), "context")
 
 
 def base_penalty(category: Column, motif: Column) -> Column:

@@ -36,12 +36,12 @@ def grams(seq: Column, k: int) -> Column:
     return F.when(F.length(seq) >= k, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(seq) - (k - 1)), lambda p: seq.substr(p, F.lit(k))))).otherwise(F.array().cast("array<string>"))
 
 
-def kmer_candidates(rows: DataFrame, id_col: str, chain_cols: list[str], k: int = 5, max_postings: int = 1000) -> DataFrame:
+def kmer_candidates(rows: DataFrame, id_col: str, chain_cols: list[str], k: int = 5) -> DataFrame:
     """Unordered pairs that share enough k-mers in every chain; left_id < right_id.
 
-    An inverted-index equi-join per chain. Enough is 1 below 20 k-mers, else a tenth of the left row's, from 2 to 12. A k-mer of more than max_postings rows
-    costs that number squared, so pairs are first sought through the rarer k-mers of each row: a row's `size - enough + 1` rarest k-mers must
-    meet any partner (prefix filtering), which loses no pair; only these pairs are counted in full.
+    Enough is 1 below 20 k-mers, else a tenth of the left row's, from 2 to 12. An inverted-index equi-join per chain, with prefixes on both sides: with k-mers ordered from
+    rare to common, two rows that share `enough` meet in the first `size - enough + 1` of each, so the common k-mers at the ends meet nothing. This loses no pair, and
+    only pairs that meet are counted in full.
     """
     out = None
     for c in chain_cols:
@@ -49,11 +49,13 @@ def kmer_candidates(rows: DataFrame, id_col: str, chain_cols: list[str], k: int
         need = F.when(F.size("g") < 20, 1).otherwise(F.greatest(F.lit(2), F.least(F.lit(12), F.expr("size(g) div 10"))))
         own = own.select("id", "g", need.alias("need"))
         flat = own.select("id", "need", F.size("g").alias("n"), F.explode("g").alias("kmer"))
-        frequency = flat.groupBy("kmer").agg(F.count(F.lit(1)).alias("df"))
+        frequency = flat.groupBy("kmer").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+        lone = F.col("n") - F.size("k")  # k-mers of no other row come first in the order and meet nothing
         ranked = flat.join(frequency, "kmer").groupBy("id", "need", "n").agg(F.sort_array(F.collect_list(F.struct("df", "kmer"))).alias("k"))
-        # the left row's requirement counts, so any row may have to be found through one shared k-mer of its prefix
-        prefix = ranked.select("id", "need", F.explode(F.transform(F.expr("slice(k, 1, n - need + 1)"), lambda x: x["kmer"])).alias("kmer"))
-        pairs = prefix.alias("a").join(flat.alias("b"), "kmer").filter("a.id < b.id").select(F.col("a.id").alias("l"), F.col("b.id").alias("r")).distinct()
+        posted = ranked.select("id", "need", "n", F.posexplode("k").alias("p", "x"), lone.alias("lone")).select("id", "need", "n", (F.col("p") + F.col("lone") + 1).alias("at"), "x.kmer")
+        left = posted.filter("at <= n - need + 1").select("kmer", F.col("id").alias("l"), "need")
+        right = posted.select("kmer", F.col("id").alias("r"), (F.col("n") - F.col("at") + 1).alias("after"))
+        pairs = left.join(right, "kmer").filter("l < r AND after >= need").select("l", "r").distinct()
         full = pairs.join(own.select(F.col("id").alias("l"), F.col("g").alias("lg"), "need"), "l").join(own.select(F.col("id").alias("r"), F.col("g").alias("rg")), "r")
         shared = F.size(F.array_intersect("lg", "rg"))
         good = full.filter(shared >= F.col("need")).select(F.col("l").alias("left_id"), F.col("r").alias("right_id"), shared.cast("long").alias(f"shared_{c}"))

@@ -28,9 +28,9 @@ def parse_records(spark, sf):
     return evidence.parse_evidence(d.select("doc_id", F.to_json(record).alias("json")), "doc_id", "json")
 
 
-@query("lit_cache_key", "SELECT conv_id, turn, lower(trim(regexp_replace(substr(text, 1, 40), '\\s+', ' ', 'g'))) || '|' || role || '|' || turn AS cache_key FROM conversations")
+@query("lit_cache_key", "SELECT conv_id, turn, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) || '|' || role || '|' || turn AS cache_key FROM conversations")
 def cache_key(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", evidence.cache_key(F.substring("text", 1, 40), F.col("role"), F.col("turn")).alias("cache_key"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", evidence.cache_key(F.col("text"), F.col("role"), F.col("turn")).alias("cache_key"))
 
 
 ORD = "CASE category WHEN 'n_glyco' THEN 7 WHEN 'o_glyco' THEN 8 WHEN 'oxidation' THEN 6 ELSE CASE motif WHEN 'NG' THEN 0 WHEN 'NS' THEN 1 WHEN 'NN' THEN 2 WHEN 'DG' THEN 3 WHEN 'DS' THEN 4 ELSE 5 END END"

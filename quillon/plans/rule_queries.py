@@ -24,8 +24,8 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
-def sites(spark: SparkSession, sf_dir: str, version: str = "overlap_v2") -> DataFrame:
-    return rules.scan_sites(rules.chains(pairs(spark, sf_dir), "antibody_id"), "antibody_id", version=version)
+def sites(spark: SparkSession, sf_dir: str, version: str = "overlap_v2", **options) -> DataFrame:
+    return rules.scan_sites(rules.chains(pairs(spark, sf_dir), "antibody_id"), "antibody_id", version=version, **options)
 
 
 SUMMARY = f"""WITH {POSITIONS}{scored('antibody_id, category, motif')},
@@ -56,15 +56,16 @@ def batch_summary(spark, sf_dir):
 
 SITE = "antibody_id, chain, motif, category, CAST(pos_start AS INT) AS pos_start, CAST(pos_end AS INT) AS pos_end, region, context"
 COLUMNS = ("antibody_id", "chain", "motif", "category", "pos_start", "pos_end", "region", "context")
-for _name, _where in {
-    "rules_sites_dipeptide": "category IN ('deamidation', 'isomerization')",
-    "rules_sites_oxidation": "category = 'oxidation'",
-    "rules_sites_nglyco_v2": "category = 'n_glyco'",
-    "rules_sites_oglyco": "category = 'o_glyco'",
-    "rules_site_context": "context <> ''",
-    "rules_region_lookup": "region <> 'FW'",
-}.items():
-    query(_name, f"WITH {POSITIONS} SELECT {SITE} FROM sites WHERE {_where}")(lambda spark, sf_dir, where=_where: sites(spark, sf_dir).filter(where).select(*COLUMNS))
+CATEGORIES = ("deamidation", "isomerization", "oxidation", "n_glyco", "o_glyco")
+for _name, _where, _categories in (
+    ("rules_sites_dipeptide", "category IN ('deamidation', 'isomerization')", CATEGORIES[:2]),
+    ("rules_sites_oxidation", "category = 'oxidation'", CATEGORIES[2:3]),
+    ("rules_sites_nglyco_v2", "category = 'n_glyco'", CATEGORIES[3:4]),
+    ("rules_sites_oglyco", "category = 'o_glyco'", CATEGORIES[4:]),
+    ("rules_site_context", "context <> ''", CATEGORIES[3:]),
+    ("rules_region_lookup", "region <> 'FW'", CATEGORIES),
+):
+    query(_name, f"WITH {POSITIONS} SELECT {SITE} FROM sites WHERE {_where}")(lambda spark, sf_dir, where=_where, own=_categories: sites(spark, sf_dir, categories=own).filter(where).select(*COLUMNS))
 
 
 @query(
@@ -78,7 +79,7 @@ walk AS (
 SELECT antibody_id, chain, CAST(p AS INT) AS pos_start FROM walk""",
 )
 def nglyco_v1(spark, sf_dir):
-    return sites(spark, sf_dir, "frozen_v1").filter("category = 'n_glyco'").select("antibody_id", "chain", "pos_start")
+    return sites(spark, sf_dir, "frozen_v1", categories=("n_glyco",)).filter("category = 'n_glyco'").select("antibody_id", "chain", "pos_start")
 
 
 @query("rules_region_counts", f"WITH {POSITIONS} SELECT region, category, count(*) AS n FROM sites GROUP BY region, category")
@@ -129,7 +130,6 @@ def score_factors(spark, sf_dir):
     return features.score_factors(sites(spark, sf_dir))
 
 
-CATEGORIES = ("deamidation", "isomerization", "oxidation", "n_glyco", "o_glyco")
 FEATURE_SQL = ", ".join(
     [f"count(*) FILTER (region = '{r}') AS {r}_count" for r in ("CDR1", "CDR2", "CDR3", "FW")]
     + [f"count(*) FILTER (category = '{c}') AS {c}_count" for c in CATEGORIES]
@@ -252,7 +252,7 @@ def infer_column(spark, sf_dir):
     return features.infer_column(rows, "chain", F.col("antibody_id").cast("long"), F.col("seq"))
 
 
-RAW = "SELECT doc_id, upper(trim(substr(regexp_replace(coalesce(text, ''), '[^ -~]', '', 'g'), 1, 40))) AS s FROM documents"
+RAW = "SELECT doc_id, upper(trim(regexp_replace(coalesce(text, ''), '[^ -~]', '', 'g'))) AS s FROM documents"
 LETTERS = "list_sort(list_distinct(string_split(regexp_replace(s, '[ACDEFGHIKLMNPQRSTVWY]', '', 'g'), '')))"
 VALIDATED = f"""WITH r AS ({RAW}), v AS (
   SELECT doc_id, s, CASE WHEN s = '' THEN 'sequence is empty' WHEN regexp_matches(s, '[^A-Za-z]') THEN 'sequence has non-letter characters'
@@ -260,7 +260,7 @@ VALIDATED = f"""WITH r AS ({RAW}), v AS (
 
 
 def raw_sequences(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~]", ""), 1, 40).alias("s"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~]", "").alias("s"))
 
 
 @query("seq_validate", f"{VALIDATED} SELECT doc_id, error IS NULL AS ok, coalesce(error, '') AS error FROM v")
@@ -281,7 +281,7 @@ def seq_hash(spark, sf_dir):
 
 @query(
     "seq_extended_normalize",
-    """WITH r AS (SELECT doc_id, translate(regexp_replace(substr(regexp_replace(coalesce(text, ''), '[^ -~]', '', 'g'), 1, 40), '\\s+', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS s FROM documents)
+    """WITH r AS (SELECT doc_id, translate(regexp_replace(regexp_replace(coalesce(text, ''), '[^ -~]', '', 'g'), '\\s+', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS s FROM documents)
 SELECT doc_id, s AS normalized, CASE WHEN s = '' THEN 'EMPTY' WHEN regexp_matches(s, '[^ACDEFGHIKLMNPQRSTVWYUOBZXJ]') THEN 'INVALID' WHEN regexp_matches(s, '[^ACDEFGHIKLMNPQRSTVWY]') THEN 'AMBIGUOUS' ELSE 'STANDARD' END AS status FROM r""",
 )
 def seq_extended(spark, sf_dir):

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from quillon.functions import rules
 from quillon.operators import identity, joins, kinetics, learning, retrieval
 from quillon.plans.registry import Registry
-from quillon.plans.table_queries import KMERS, unique_pairs
+from quillon.plans.table_queries import KMERS
 from quillon.plans.text_queries import COS
-from quillon.plans.views import CHAINS, pairs, table
+from quillon.plans.views import CHAINS, pairs, product_pairs, table
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -99,7 +99,7 @@ def mc(spark, sf):
 
 
 def identities(spark, sf):
-    u = unique_pairs(spark, sf)
+    u = product_pairs(spark, sf)
     c = joins.kmer_candidates(u, "id", ["VH", "VL"]).select("left_id", "right_id")
     return u, identity.paired_identity(c, u)
 
@@ -116,7 +116,7 @@ def cluster_greedy(spark, sf):
 
 
 def candidate_edges(spark, sf):
-    u = unique_pairs(spark, sf)
+    u = product_pairs(spark, sf)
     return u, joins.kmer_candidates(u, "id", ["VH", "VL"]).select("left_id", "right_id")
 
 

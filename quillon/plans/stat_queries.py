@@ -8,7 +8,7 @@ from quillon.operators import stats
 from quillon.operators.aggregates import average_ranks
 from quillon.plans.registry import Registry
 from quillon.plans.rule_queries import CHAIN_SQL, chain_features
-from quillon.plans.views import table
+from quillon.plans.views import BLOCKS, table
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -75,12 +75,13 @@ def strata(spark, sf):
     return stats.spearman(g, ["stratum"], "x", "y").withColumn("rho", F.round("rho", 8))
 
 
-SCORED = f"{CHAIN_SQL}, s AS (SELECT f.chain AS grp, f.score AS score, l.quality AS label FROM features f JOIN labels l ON f.antibody_id = CAST(l.doc_id AS VARCHAR) WHERE f.score IS NOT NULL)"
+SCORED = f"{CHAIN_SQL}, s AS (SELECT f.chain AS grp, f.score AS score, l.quality AS label FROM features f JOIN labels l ON CAST(f.antibody_id AS BIGINT) // {BLOCKS} = l.doc_id WHERE f.score IS NOT NULL)"
 
 
 def scored(spark, sf):
-    l = table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("antibody_id"), F.col("quality").alias("label"))
-    return chain_features(spark, sf).select("antibody_id", F.col("chain").alias("grp"), "score").join(l, "antibody_id").filter("score IS NOT NULL").select("grp", "score", "label")
+    l = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
+    doc = F.floor(F.col("antibody_id").cast("long") / BLOCKS).alias("doc_id")
+    return chain_features(spark, sf).select(doc, F.col("chain").alias("grp"), "score").join(l, "doc_id").filter("score IS NOT NULL").select("grp", "score", "label")
 
 
 @query("roc_auc", f"{SCORED} SELECT grp, round((sum(r) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0) / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0)), 8) AS roc_auc FROM (SELECT *, rank() OVER (PARTITION BY grp ORDER BY score) + (count(*) OVER (PARTITION BY grp, score) - 1) / 2.0 AS r FROM s) GROUP BY grp")

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 
 from quillon.operators import aggregates, joins, store
 from quillon.plans.registry import Registry
-from quillon.plans.views import PAIRS, pairs, table
+from quillon.plans.views import PAIRS, PRODUCTS, pairs, product_pairs, table
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -73,8 +73,7 @@ def join_integrity(spark, sf):
     return joins.integrity(l.groupBy("k1", "k2").agg(F.max("l_quantity").alias("q")), l.filter("l_discount > 0.02").groupBy("k1", "k2").agg(F.min("l_quantity").alias("q")), ["k1", "k2"], "q")
 
 
-KMERS = f"""WITH {PAIRS},
-u AS (SELECT sha256(VH || chr(10) || VL) AS id, any_value(VH) AS VH, any_value(VL) AS VL FROM pairs GROUP BY 1),
+KMERS = f"""WITH {PRODUCTS},
 k AS (SELECT id, 'VH' AS c, list_distinct(list_transform(generate_series(1, length(VH) - 4), lambda p: substr(VH, p, 5))) AS g FROM u WHERE length(VH) >= 5 UNION ALL SELECT id, 'VL', list_distinct(list_transform(generate_series(1, length(VL) - 4), lambda p: substr(VL, p, 5))) FROM u WHERE length(VL) >= 5),
 f AS (SELECT id, c, unnest(g) AS m, len(g) AS n FROM k),
 s AS (SELECT a.id AS l, b.id AS r, a.c AS c, count(*) AS shared, any_value(a.n) AS n FROM f a JOIN f b ON a.c = b.c AND a.m = b.m AND a.id < b.id GROUP BY 1, 2, 3),
@@ -82,13 +81,9 @@ ok AS (SELECT * FROM s WHERE shared >= CASE WHEN n < 20 THEN 1 ELSE greatest(2,
 cand AS (SELECT h.l AS left_id, h.r AS right_id, h.shared AS shared_VH, v.shared AS shared_VL FROM ok h JOIN ok v ON h.c = 'VH' AND v.c = 'VL' AND h.l = v.l AND h.r = v.r)"""
 
 
-def unique_pairs(spark, sf):
-    return pairs(spark, sf).select(F.sha2(F.concat("VH", F.lit("\n"), "VL"), 256).alias("id"), "VH", "VL").groupBy("id").agg(F.min("VH").alias("VH"), F.min("VL").alias("VL"))
-
-
 @query("join_kmer_candidates", f"{KMERS} SELECT * FROM cand")
 def kmer_candidates(spark, sf):
-    return joins.kmer_candidates(unique_pairs(spark, sf), "id", ["VH", "VL"])
+    return joins.kmer_candidates(product_pairs(spark, sf), "id", ["VH", "VL"])
 
 
 G3 = "list_distinct(list_transform(generate_series(1, length({0}) - 2), lambda p: substr({0}, p, 3)))"
@@ -97,7 +92,7 @@ FILTERED = " AND ".join(f"least(length(a.{c}), length(b.{c})) / greatest(length(
 
 @query("join_prefiltered_pairs", f"{KMERS} SELECT left_id, right_id FROM cand JOIN u a ON a.id = left_id JOIN u b ON b.id = right_id WHERE {FILTERED}")
 def prefiltered(spark, sf):
-    u = unique_pairs(spark, sf)
+    u = product_pairs(spark, sf)
     c = joins.kmer_candidates(u, "id", ["VH", "VL"]).select("left_id", "right_id")
     j = c.join(u.select(F.col("id").alias("left_id"), F.col("VH").alias("ah"), F.col("VL").alias("al")), "left_id").join(u.select(F.col("id").alias("right_id"), F.col("VH").alias("bh"), F.col("VL").alias("bl")), "right_id")
     for a, b in (("ah", "bh"), ("al", "bl")):

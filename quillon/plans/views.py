@@ -10,16 +10,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Residues of a block's VH and VL; blocks that a document's ids leave room for.
+VH, VL, BLOCKS = 120, 110, 100_000
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pseudo-sequences from documents: letters, upper-cased, standard residues; VH is the first 120, VL the next 110."""
+    """Pseudo-sequences from whole documents: the standard residues among a text's letters, upper-cased, in blocks of a VH and a VL; the id is doc_id * BLOCKS + block."""
     residues = F.regexp_replace(F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")), "[^ACDEFGHIKLMNPQRSTVWY]", "")
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("antibody_id"), residues.alias("r"))
-    return d.select("antibody_id", F.substring("r", 1, 120).alias("VH"), F.substring("r", 121, 110).alias("VL"))
+    size = VH + VL
+    d = table(spark, sf_dir, "documents").select("doc_id", residues.alias("r"))
+    last = F.greatest(F.floor((F.length("r") + size - 1) / size).cast("int") - 1, F.lit(0))
+    block = F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(k.alias("k"), F.col("r").substr(k * size + 1, F.lit(VH)).alias("VH"), F.col("r").substr(k * size + VH + 1, F.lit(VL)).alias("VL")))
+    return d.select("doc_id", F.explode(block).alias("b")).select((F.col("doc_id") * BLOCKS + F.col("b.k")).cast("string").alias("antibody_id"), "b.VH", "b.VL")
+
+
+PAIRS = f"""pairs AS (
+  SELECT CAST(doc_id * {BLOCKS} + k AS VARCHAR) AS antibody_id, substr(r, k * {VH + VL} + 1, {VH}) AS VH, substr(r, k * {VH + VL} + {VH + 1}, {VL}) AS VL
+  FROM (SELECT doc_id, regexp_replace(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g') AS r FROM documents),
+       LATERAL (SELECT unnest(generate_series(0, greatest((length(r) + {VH + VL - 1}) // {VH + VL} - 1, 0))) AS k))"""
+
+
+def product_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct short pairs (id, VH, VL) from the whole table part: the standard residues of names and of brands with types."""
+    letters = lambda c: F.regexp_replace(F.upper(c), "[^ACDEFGHIKLMNPQRSTVWY]", "")
+    p = table(spark, sf_dir, "part").select(letters(F.col("p_name")).alias("VH"), letters(F.concat("p_brand", "p_type")).alias("VL")).distinct()
+    return p.select(F.sha2(F.concat("VH", F.lit("\n"), "VL"), 256).alias("id"), "VH", "VL")
 
 
-PAIRS = """pairs AS (
-  SELECT CAST(doc_id AS VARCHAR) AS antibody_id, substr(r, 1, 120) AS VH, substr(r, 121, 110) AS VL
-  FROM (SELECT doc_id, regexp_replace(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g') AS r FROM documents))"""
+PRODUCTS = """u AS (
+  SELECT sha256(VH || chr(10) || VL) AS id, VH, VL FROM (SELECT DISTINCT regexp_replace(upper(p_name), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g') AS VH,
+    regexp_replace(upper(p_brand || p_type), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g') AS VL FROM part))"""
 CHAINS = PAIRS + """,
 chains AS (
   SELECT antibody_id, 'VH' AS chain, 0 AS chain_order, VH AS seq FROM pairs
