@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quillon.runtime import materialize
+
 
 def classify_duplicates(rows: DataFrame, key: str, id_col: str, context: list[str], outcome: list[str], main: str) -> DataFrame:
     """Class of each duplicate group by the number of distinct contexts and outcomes; the smallest id represents it."""
@@ -81,9 +83,24 @@ def leakage(rows: DataFrame, key: str, split: str) -> DataFrame:
     return sets.select(F.explode(pair).alias("p")).groupBy(F.col("p.a").alias("split_a"), F.col("p.b").alias("split_b")).agg(F.count(F.lit(1)).alias("n_shared"))
 
 
+def running(rows: DataFrame, by: list[str], value: str, weights: list[str]) -> DataFrame:
+    """rows, unique by (by, value), with __part, and before_w and total_w for each weight: its sum over the group's smaller values, and over the group.
+
+    No group is one task: rows are dealt by ranges of the value, summed within each range, and ranges are offset by the sums of those before, a row a range and group.
+    """
+    spread = materialize(rows.repartitionByRange(*by, value).withColumn("__part", F.spark_partition_id()), "ranges")
+    sums = spread.groupBy(*by, "__part").agg(*[F.sum(w).alias(f"__s_{w}") for w in weights])
+    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+    earlier = group.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    of = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    offsets = sums.select(*[F.col(c).alias(f"__k_{c}") for c in by], F.col("__part").alias("__p"), *[of(f"__s_{w}", earlier).alias(f"__o_{w}") for w in weights], *[of(f"__s_{w}", group).alias(f"total_{w}") for w in weights])
+    same = reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"__k_{c}")), by, F.col("__part") == F.col("__p"))
+    inside = W.partitionBy(*by, "__part").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    out = spread.withColumns({f"__i_{w}": of(w, inside) for w in weights}).join(offsets, same)
+    return out.select(*rows.columns, "__part", *[(F.col(f"__i_{w}") + F.col(f"__o_{w}")).alias(f"before_{w}") for w in weights], *[f"total_{w}" for w in weights])
+
+
 def average_ranks(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
     """Ranks from 1, ties sharing their mean rank. The running count goes over distinct values, which are aggregated first."""
-    w = W.partitionBy(*by).orderBy(value) if by else W.partitionBy(F.lit(0)).orderBy(value)
-    n = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return n.select(*by, value, (before + (F.col("__n") + 1) / 2.0).cast("double").alias(name), F.col("__n").alias("__ties"))
+    n = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__ties"))
+    return running(n, by, value, ["__ties"]).select(*by, value, (F.col("before___ties") + (F.col("__ties") + 1) / 2.0).cast("double").alias(name), "__ties")

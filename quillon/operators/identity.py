@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.operators.aggregates import running
 from quillon.operators.graph import connected_components
 
 #: Match, mismatch, gap opening and gap extension scores.
@@ -106,29 +107,46 @@ def hashed_components(assigned: DataFrame, id_col: str) -> DataFrame:
     return assigned.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sha2(F.array_join(members, "\n"), 256).alias("component_hash"))
 
 
+def split_turns(size: int, n: int, target: list[float], have: list[int]) -> list[tuple[int, int, list[int]]]:
+    """(first rank, last rank, splits that take turns) of n components of one size, each to the split that lacks most; have is updated.
+
+    Splits whose wants are within one size of the largest take turns, until their wants fall to those of the others: a few patterns, however many the components.
+    """
+    out, k = [], 1
+    while n:
+        now, picks = list(have), []
+        while len(picks) < min(n, len(target)):
+            to = max(range(len(target)), key=lambda i: (target[i] - now[i], -i))
+            if to in picks:
+                break
+            picks.append(to)
+            now[to] += size
+        rest = [target[i] - have[i] for i in range(len(target)) if i not in picks]
+        cycles = n // len(picks)
+        if rest:
+            cycles = min(cycles, max(1, int((min(target[i] - have[i] for i in picks) - max(rest)) / size) - 1))
+        cycles = max(1, cycles)
+        out.append((k, k + cycles * len(picks) - 1, picks))
+        for i in picks:
+            have[i] += size * cycles
+        k += cycles * len(picks)
+        n -= cycles * len(picks)
+    return out
+
+
 def greedy_split(sizes: DataFrame, component: str, size: str, shares=(("TRAIN", 0.6), ("VALIDATION", 0.2), ("TEST", 0.2))) -> DataFrame:
     """(component, size, split): whole components, the largest first, each to the split that lacks most; ties go by the splits' order.
 
-    The fold runs over the histogram of sizes on the driver; components get their turn by rank among their size, so the fold never sees them.
+    The driver sees the histogram of sizes and makes a few patterns of turns for each size; components find theirs by their rank among their size.
     """
-    from pyspark.sql import Window as W
-
     histogram = sorted(((r[0], r[1]) for r in sizes.groupBy(size).count().collect()), reverse=True)  # a row a size
     total = sum(s * n for s, n in histogram)
     target, have = [w * total for _, w in shares], [0] * len(shares)
-    turns: list[tuple[int, int, int, str]] = []  # size, first rank, last rank, split
-    for s, n in histogram:
-        for k in range(1, n + 1):
-            to = max(range(len(shares)), key=lambda i: (target[i] - have[i], -i))
-            have[to] += s
-            if turns and turns[-1][0] == s and turns[-1][3] == shares[to][0] and turns[-1][2] == k - 1:
-                turns[-1] = (s, turns[-1][1], k, turns[-1][3])
-            else:
-                turns.append((s, k, k, shares[to][0]))
-    spark = sizes.sparkSession
-    plan = spark.createDataFrame(turns or [(0, 0, 0, "TRAIN")], "__s bigint, __low bigint, __high bigint, split string")
-    ranked = sizes.withColumn("__rank", F.row_number().over(W.partitionBy(size).orderBy(component)))
-    return ranked.join(plan, (F.col(size) == F.col("__s")) & F.col("__rank").between(F.col("__low"), F.col("__high"))).select(component, size, "split")
+    turns = [(s, low, high, [shares[i][0] for i in picks]) for s, n in histogram for low, high, picks in split_turns(s, n, target, have)]
+    plan = sizes.sparkSession.createDataFrame(turns or [(0, 0, 0, ["TRAIN"])], "__s bigint, __low bigint, __high bigint, __turn array<string>")
+    ranked = running(sizes.select(component, size, F.lit(1).alias("__one")), [size], component, ["__one"]).withColumn("__rank", F.col("before___one") + 1)
+    turn = F.expr("__turn[int((__rank - __low) % size(__turn))]")
+    return ranked.join(plan, (F.col(size) == F.col("__s")) & F.col("__rank").between(F.col("__low"), F.col("__high"))).select(component, size, turn.alias("split"))
 
 
 def degrees(edges: DataFrame, src: str, dst: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from quillon.operators.aggregates import average_ranks
+from quillon.operators.aggregates import average_ranks, running
 
 
 def ranked(rows: DataFrame, by: list[str], columns: dict[str, str]) -> DataFrame:
@@ -46,12 +47,44 @@ def effect_size(rho: Column) -> Column:
     return F.when(rho.isNull(), "NA").when(a < 0.2, "negligible").when(a < 0.4, "weak").when(a < 0.6, "moderate").when(a < 0.8, "strong").otherwise("very strong")
 
 
+def spearman_matrix(rows: DataFrame, features: list[str], targets: list[str]) -> DataFrame:
+    """(feature, then a column per target): Spearman's rho of every feature and target over the rows where both are there.
+
+    Where no column has gaps, each column is ranked once and all pairs come from one aggregate; gaps change the ranks of a pair, so then each pair is ranked by itself.
+    """
+    names = list(dict.fromkeys([*features, *targets]))
+    whole = rows.select(*[F.col(c).cast("double").alias(c) for c in names])
+    gaps = whole.agg(*[F.count(F.when(F.col(c).isNull() | F.isnan(c), 1)).alias(c) for c in names]).first()
+    if not any(gaps):
+        r = ranked(whole, [], {f"__{c}": c for c in names})
+        sure = lambda f, t: (F.min(f) < F.max(f)) & (F.min(t) < F.max(t))
+        cells = [F.struct(F.lit(f).alias("feature"), *[F.when(sure(f, t), F.corr(f"__{f}", f"__{t}")).alias(t) for t in targets]) for f in features]
+        return r.agg(F.array(*cells).alias("a")).select(F.explode("a").alias("s")).select("s.*")
+    out = None
+    for f in features:
+        own = None
+        for t in targets:
+            one = spearman(whole, [], f, t).select(F.lit(f).alias("feature"), F.col("rho").alias(t))
+            own = one if own is None else own.join(one, "feature", "full")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def benjamini_hochberg(rows: DataFrame, p: str, by: list[str], *tie: str) -> DataFrame:
-    """rows with q: the running minimum, from the largest p down, of p m / rank, at most 1; null p are left out of m."""
-    part = [*by, F.col(p).isNull()]
-    w = W.partitionBy(*part).orderBy(p, *tie)
-    raw = F.col(p) * F.count(p).over(W.partitionBy(*part)) / F.row_number().over(w)
-    return rows.withColumn("__raw", raw).withColumn("q", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min("__raw").over(w.rowsBetween(0, W.unboundedFollowing))))).drop("__raw")
+    """rows with q: the running minimum, from the largest p down, of p m / rank, at most 1; null p are left out of m.
+
+    Rows of one p share their q, so sums and minima run over distinct p, dealt by ranges (see running); no group is one task.
+    """
+    n = rows.filter(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count(F.lit(1)).alias("__n"))
+    c = running(n, by, p, ["__n"]).withColumn("__raw", F.col(p) * F.col("total___n") / (F.col("before___n") + F.col("__n")))
+    inside = W.partitionBy(*by, "__part").orderBy(F.desc(p)).rowsBetween(W.unboundedPreceding, 0)
+    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+    low = c.groupBy(*by, "__part").agg(F.min("__raw").alias("__low"))  # a row a range and group
+    later = low.select(*[F.col(x).alias(f"__k_{x}") for x in by], F.col("__part").alias("__p"), F.min("__low").over(group.orderBy(F.desc("__part")).rowsBetween(W.unboundedPreceding, -1)).alias("__later"))
+    same = reduce(lambda a, x: a & F.col(x).eqNullSafe(F.col(f"__k_{x}")), by, F.col("__part") == F.col("__p"))
+    q = c.withColumn("__own", F.min("__raw").over(inside)).join(later, same).select(*[F.col(x).alias(f"__b_{x}") for x in by], F.col(p).alias("__value"), F.least(F.lit(1.0), "__own", "__later").alias("q"))
+    met = reduce(lambda a, x: a & F.col(x).eqNullSafe(F.col(f"__b_{x}")), by, F.col(p) == F.col("__value"))
+    return rows.join(q, met, "left").select(*rows.columns, "q")
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -94,20 +127,23 @@ def correlation_p(rho: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([p(r, d) for r, d in zip(rho, df)], dtype="float64")
 
 
+def score_counts(rows: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
+    """Distinct scores with their rows (n) and positives (tp), and running sums of both."""
+    g = rows.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, score).agg(F.count(F.when(F.col(label) == 1, 1)).alias("tp"), F.count(F.lit(1)).alias("n"))
+    return running(g, by, score, ["tp", "n"])
+
+
 def roc_auc(rows: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
-    """By ranks; null where a class is missing."""
-    r = ranked(rows.filter(F.col(score).isNotNull() & F.col(label).isNotNull()), by, {"__r": score})
-    pos = F.col(label) == 1
-    a = r.groupBy(*by).agg(F.sum(F.when(pos, F.col("__r"))).alias("s"), F.count(F.when(pos, 1)).alias("p"), F.count(F.when(~pos, 1)).alias("m"))
+    """By ranks of distinct scores; null where a class is missing."""
+    rank = F.col("before_n") + (F.col("n") + 1) / 2.0
+    a = score_counts(rows, by, score, label).groupBy(*by).agg(F.sum(F.col("tp") * rank).alias("s"), F.sum("tp").alias("p"), F.sum(F.col("n") - F.col("tp")).alias("m"))
     return a.select(*by, F.when((F.col("p") > 0) & (F.col("m") > 0), (F.col("s") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("m"))).alias("roc_auc"))
 
 
 def pr_auc(rows: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
     """Average precision; tied scores enter together."""
-    g = rows.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, score).agg(F.count(F.when(F.col(label) == 1, 1)).alias("tp"), F.count(F.lit(1)).alias("n"))
-    w = (W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
-    c = g.select(*by, "tp", F.sum("tp").over(w).alias("ctp"), F.sum("n").over(w).alias("cn"))
-    a = c.groupBy(*by).agg(F.sum(F.col("tp") * F.col("ctp") / F.col("cn")).alias("s"), F.sum("tp").alias("p"))
+    above = F.col("tp") * (F.col("total_tp") - F.col("before_tp")) / (F.col("total_n") - F.col("before_n"))
+    a = score_counts(rows, by, score, label).groupBy(*by).agg(F.sum(above).alias("s"), F.sum("tp").alias("p"))
     return a.select(*by, F.when(F.col("p") > 0, F.col("s") / F.col("p")).alias("pr_auc"))
 
 
@@ -131,13 +167,13 @@ def kendall_tau_b(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     A group's distinct cells are taken in one task and counted by merging, in n log n.
     """
     cells = usable(rows, by, x, y).groupBy(*by, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")).agg(F.count(F.lit(1)).alias("__n"))
-    packed = cells.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("__x", "__y", "__n"))).alias("__c"))
-    return packed.select(*by, F.aggregate("__c", F.lit(0).cast("long"), lambda a, c: a + c["__n"]).alias("n"), _tau(F.col("__c")).alias("tau"))
+    schema = T.StructType([*[rows.schema[c] for c in by], T.StructField("n", T.LongType()), T.StructField("tau", T.DoubleType())])
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf.sort_values(["__x", "__y"])
+        return pd.DataFrame([[*(pdf[c].iloc[0] for c in by), int(own["__n"].sum()), tau_b(list(zip(own["__x"].tolist(), own["__y"].tolist(), own["__n"].tolist())))]], columns=schema.names)
 
-@F.udf(T.DoubleType())
-def _tau(cells):
-    return tau_b([(c[0], c[1], c[2]) for c in cells])
+    return cells.groupBy(*by).applyInPandas(run, schema)
 
 
 def tau_b(cells: list[tuple[float, float, int]]) -> float | None:

@@ -16,23 +16,32 @@ def issues(rows: DataFrame, id_col: str, rules: list[tuple[str, str, Column, str
     return rows.select(F.col(id_col).alias("id"), F.explode(found).alias("i")).select("id", "i.*")
 
 
-def hierarchy_walk(edges: DataFrame, depth: int = 64) -> DataFrame:
-    """(id, steps, cycle) of each node's walk to its root; edges: (id, parent). All nodes walk at once, a join a step.
+def hierarchy_walk(edges: DataFrame) -> DataFrame:
+    """(id, steps, cycle) of each node's walk to its root, however long; edges: (id, parent), a row an id.
 
-    Steps count the nodes visited, the repeated one of a cycle too. Walks that have ended leave the join.
+    Steps count the nodes visited, the repeated one of a cycle too. Walks to a root double their stride each round, so a chain of n takes log n joins; nodes that reach
+    no root in the rounds that n nodes need are on, or lead to, a cycle and are walked one by one until they meet a node again.
     """
-    own = edges.select(F.col("id").alias("__id"), F.col("parent").alias("__parent"))
-    done, walk = [], edges.select("id", F.col("parent").alias("next"), F.array("id").alias("path"))
-    for _ in range(depth):
-        j = walk.join(own, walk["next"] == own["__id"], "left")
-        cycle = F.coalesce(F.array_contains("path", F.col("__id")), F.lit(False))
-        step = materialize(j.select("id", F.col("__parent").alias("next"), F.when(F.col("__id").isNull(), F.col("path")).otherwise(F.concat("path", F.array("__id"))).alias("path"), F.col("__id").isNull().alias("ended"), cycle.alias("cycle")), "walk")
-        done.append(step.filter("ended OR cycle").select("id", F.size("path").alias("steps"), "cycle"))
-        walk = step.filter("NOT ended AND NOT cycle").select("id", "next", "path")
-        if walk.isEmpty():
-            break
-    else:
-        done.append(walk.select("id", F.size("path").alias("steps"), F.lit(False).alias("cycle")))
+    n = edges.count()
+    walk = materialize(edges.select("id", F.col("parent").alias("next"), F.lit(1).cast("long").alias("steps")), "strides")
+    own = edges.select("id")
+    known = own.select(F.col("id").alias("__k"))
+    walk = materialize(walk.join(known, F.col("next") == F.col("__k"), "left").select("id", F.col("__k").alias("next"), "steps"), "strides")  # a parent that is no node ends the walk
+    stride = 1
+    while stride <= n and not walk.filter("next IS NOT NULL").isEmpty():
+        ahead = walk.select(F.col("id").alias("__i"), F.col("next").alias("__n"), F.col("steps").alias("__s"))
+        walk = materialize(walk.join(ahead, F.col("next") == F.col("__i"), "left").select("id", F.col("__n").alias("next"), (F.col("steps") + F.coalesce("__s", F.lit(0))).alias("steps")), "strides")
+        stride *= 2
+    done = [walk.filter("next IS NULL").select("id", F.col("steps").cast("int").alias("steps"), F.lit(False).alias("cycle"))]
+    caught = walk.filter("next IS NOT NULL").select("id")
+    if caught.isEmpty():
+        return done[0]
+    parent = edges.select(F.col("id").alias("__id"), F.col("parent").alias("__parent"))
+    paths = materialize(caught.join(edges, "id").select("id", F.col("parent").alias("next"), F.array("id").alias("path")), "paths")
+    while not paths.isEmpty():
+        step = materialize(paths.join(parent, F.col("next") == F.col("__id")).select("id", F.col("__parent").alias("next"), F.concat("path", F.array("__id")).alias("path"), F.array_contains("path", F.col("__id")).alias("met")), "paths")
+        done.append(step.filter("met").select("id", F.size("path").alias("steps"), F.lit(True).alias("cycle")))
+        paths = step.filter("NOT met").select("id", "next", "path")
     return reduce(DataFrame.unionByName, done)
 
 
@@ -52,6 +61,7 @@ def snapshot(rows: DataFrame, id_col: str, payload: str) -> DataFrame:
 def append_batch(batch: DataFrame, path: str, key: str, rules: list[tuple[str, str, Column, str]]) -> DataFrame:
     """Append a batch to a Parquet entity, all or nothing. Returns its issues; rows are written only where none is an ERROR.
 
+    One writer at a time: the check and the write are two steps, so the caller holds whatever lock its store has.
     Keys that the entity holds already are issues too (EXISTING_ID), and so are keys that repeat within the batch (DUPLICATE_ID).
     """
     spark = batch.sparkSession

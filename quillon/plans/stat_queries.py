@@ -41,13 +41,11 @@ UNPIVOT = """SELECT f.feature || '|' || a.assay AS grp, f.x AS x, a.y AS y FROM
 
 @query("spearman_matrix", f"SELECT split_part(grp, '|', 1) AS feature, round(max(rho) FILTER (grp LIKE '%|price'), 8) AS price, round(max(rho) FILTER (grp LIKE '%|supplier'), 8) AS supplier FROM (SELECT grp, corr(rx, ry) AS rho FROM ({ranks('x', 'y', source=UNPIVOT.replace('USING (l_orderkey, l_linenumber, l_partkey)', 'ON f.l_orderkey = a.l_orderkey AND f.l_linenumber = a.l_linenumber AND f.l_partkey = a.l_partkey'))}) GROUP BY grp) GROUP BY 1")
 def spearman_matrix(spark, sf):
-    l = table(spark, sf, "lineitem")
-    keys = ["l_orderkey", "l_linenumber", "l_partkey"]
-    wide = l.select(*keys, F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"), F.col("l_extendedprice").alias("price"), F.col("l_suppkey").cast("double").alias("supplier"))
-    a = wide.unpivot(keys, ["quantity", "discount", "tax"], "feature", "x")
-    b = wide.unpivot(keys, ["price", "supplier"], "assay", "y")
-    rho = stats.spearman(a.join(b, keys), ["feature", "assay"], "x", "y")
-    return rho.groupBy("feature").pivot("assay", ["price", "supplier"]).agg(F.round(F.max("rho"), 8))
+    l, keys = table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey"]
+    features = l.select(*keys, F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"))
+    assays = l.select(*keys, F.col("l_extendedprice").alias("price"), F.col("l_suppkey").alias("supplier"))
+    m = stats.spearman_matrix(features.join(assays, keys), ["quantity", "discount", "tax"], ["price", "supplier"])
+    return m.select("feature", F.round("price", 8).alias("price"), F.round("supplier", 8).alias("supplier"))
 
 
 @query("partial_spearman", f"SELECT grp, n, round((xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)), 8) AS rho FROM (SELECT grp, count(*) AS n, corr(rx, ry) AS xy, corr(rx, rz) AS xz, corr(ry, rz) AS yz FROM ({ranks('x', 'y', 'z')}) GROUP BY grp)")

@@ -137,7 +137,7 @@ SELECT start AS id, CAST(max(len(path)) AS INT) AS steps, bool_or(cycle) AS cycl
 )
 def hierarchy(spark, sf):
     parent = "CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 10 = 3 THEN c_custkey + 1 WHEN c_custkey % 10 = 4 THEN c_custkey - 1 ELSE c_custkey div 2 END"
-    return store.hierarchy_walk(table(spark, sf, "customer").selectExpr("c_custkey AS id", f"{parent} AS parent"), depth=64)
+    return store.hierarchy_walk(table(spark, sf, "customer").selectExpr("c_custkey AS id", f"{parent} AS parent"))
 
 
 @query("dup_groups", "SELECT source, lang, n_chars // 100 AS size_class, count(*) AS n, count(DISTINCT text) AS n_texts FROM documents GROUP BY ALL HAVING count(*) > 1")

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 
 from quillon.operators import guards, retrieval
 from quillon.plans.registry import Registry
-from quillon.plans.views import pairs, table
+from quillon.plans.views import PAIRS, pairs, table
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -205,7 +205,7 @@ def redact(spark, sf):
     return table(spark, sf, "documents").select("doc_id", guards.redact_secrets(t).alias("text"))
 
 
-@query("scrub_sequences")
+@query("scrub_sequences", f"WITH {PAIRS} SELECT antibody_id, 'chain ' || CASE WHEN length(VH) >= 20 THEN '[SEQUENCE OMITTED]' ELSE VH END || ' noted' AS text FROM pairs")
 def scrub(spark, sf):
     return pairs(spark, sf).select("antibody_id", guards.scrub_text(F.concat(F.lit("chain "), "VH", F.lit(" noted"))).alias("text"))
 

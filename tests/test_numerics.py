@@ -131,3 +131,51 @@ def test_bootstrap_resamples_rows(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     same = stats.bootstrap(docs.selectExpr("lang", "CAST(n_chars AS DOUBLE) AS x", "CAST(length(text) AS DOUBLE) AS y"), ["lang"], "x", "y", resamples=2000).first()
     assert stat_queries.QUERIES["bootstrap_intervals"](spark, str(tmp_path)).first() == same and same.rho == r.rho
+
+
+def test_split_turns_follow_the_greedy_rule():
+    import random
+
+    from quillon.operators.identity import split_turns
+
+    rng = random.Random(3)
+    for _ in range(200):
+        shares = rng.choice([[0.6, 0.2, 0.2], [0.8, 0.1, 0.1], [0.5, 0.5], [0.34, 0.33, 0.33]])
+        histogram = sorted(((rng.randint(1, 40), rng.randint(1, 300)) for _ in range(rng.randint(1, 6))), reverse=True)
+        target = [w * sum(s * n for s, n in histogram) for w in shares]
+        have, plain = [0] * len(shares), [0] * len(shares)
+        for s, n in histogram:
+            got = []
+            for low, high, picks in split_turns(s, n, target, have):
+                got += [picks[(r - low) % len(picks)] for r in range(low, high + 1)]
+            want = []
+            for _ in range(n):
+                to = max(range(len(shares)), key=lambda i: (target[i] - plain[i], -i))
+                plain[to] += s
+                want.append(to)
+            assert got == want
+
+
+def test_hierarchy_of_any_depth(spark):
+    from quillon.operators.store import hierarchy_walk
+
+    chain = [(k, k - 1 if k else None) for k in range(150)]
+    loop = [(1000, 1001), (1001, 1002), (1002, 1000), (1003, 1000), (2000, 9999)]
+    got = {r.id: (r.steps, r.cycle) for r in hierarchy_walk(spark.createDataFrame(chain + loop, "id bigint, parent bigint")).collect()}
+    assert all(got[k] == (k + 1, False) for k in range(150))
+    assert got[1000] == (4, True) and got[1003] == (5, True) and got[2000] == (1, False)
+
+
+def test_running_sums_in_groups(spark):
+    from pyspark.sql import functions as F
+
+    from quillon.operators.aggregates import average_ranks
+    from quillon.operators.stats import benjamini_hochberg
+
+    df = spark.createDataFrame([(g, v) for g in ("a", None) for v in (2.0, 1.0, 2.0, 4.0)], "g string, v double")
+    assert {(r.g, r.v): r.rank for r in average_ranks(df, ["g"], "v", "rank").collect()} == {(g, v): r for g in ("a", None) for v, r in ((1.0, 1.0), (2.0, 2.5), (4.0, 4.0))}
+    p = spark.createDataFrame([("x", 0.01), ("y", 0.02), ("z", 0.5), ("n", None)], "id string, p double")
+    q = {r.id: r.q for r in benjamini_hochberg(p, "p", []).collect()}
+    assert [round(q[k], 9) for k in "xyz"] == [0.03, 0.03, 0.5] and q["n"] is None
+    grouped = benjamini_hochberg(p.withColumn("g", F.lit(None).cast("string")), "p", ["g"])
+    assert {r.id: r.q for r in grouped.collect()} == q
