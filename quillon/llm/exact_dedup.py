@@ -7,18 +7,18 @@ passes straight through. The possibly repeated rows are then grouped by the whol
 never a wrong result. The filter's blocks grow with the rows; they are broadcast in slices of bounded size, a scan a slice.
 
 Defined cases: a null text equals an empty one; of equal texts the one with most code points, then the smallest id, null ids
-last, stays; of wholly tied rows exactly one stays; an empty table gives an empty result; input columns named like a result column are
+last, stays; of wholly tied rows exactly one stays; an empty table gives an empty result; texts of any length count whole; input columns named like a result column are
 replaced by it.
 """
 
 from __future__ import annotations
 
-import hashlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,12 +41,10 @@ def matrix(values) -> np.ndarray:
     return np.frombuffer(b"".join(values), np.uint8).reshape(-1, 32)
 
 
-def text_digest():
-    @F.pandas_udf(T.BinaryType())
-    def digest(text: pd.Series) -> pd.Series:
-        return pd.Series([hashlib.sha256((x or "").encode().translate(None, SPACE)).digest() for x in text], dtype=object)
-
-    return digest
+def text_digest(text: Column) -> Column:
+    """SHA-256 of the text without white space, in the JVM, where replacing one character at a time takes half as long as translate."""
+    bare = reduce(lambda c, x: F.replace(c, F.lit(x)), SPACE.decode(), F.coalesce(text, F.lit("")))
+    return F.unhex(F.sha2(bare, 256))
 
 
 def repeated_blocks(digests: DataFrame, blocks: int) -> DataFrame:
@@ -98,7 +96,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs, dropped rows too, with keep_id, group_size, kept and text_sha256."""
     spark = docs.sparkSession
     prepare(spark)
-    rows = docs.drop(*[c for c in RESULT if c != id_col]).withColumns({"__digest": text_digest()(F.col(text_col)), "__chars": F.length(F.coalesce(F.col(text_col), F.lit("")))})
+    rows = docs.drop(*[c for c in RESULT if c != id_col]).withColumns({"__digest": text_digest(F.col(text_col)), "__chars": F.length(F.coalesce(F.col(text_col), F.lit("")))})
     blocks = max(1, -(-PER_ROW * docs.count() // SLOTS))
     filters = materialize(repeated_blocks(rows.select("__digest"), blocks), "bloom")
     unique, maybe = [], []
