@@ -11,8 +11,9 @@ copies) is not compared pairwise: its fingerprints are exploded to the 65 words
 within two bits of each other; a star links them. Both ways are exact.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; fewer words than a shingle give one shingle; rows with a null
-id are kept and never represent others; repeated rows agree; an empty table gives an empty result; input columns named like a result column
-are replaced by it.
+id are kept and never represent others; repeated rows agree; an empty table gives an empty result; of very long texts all shingles count; input columns named like a
+result column are replaced by it. The text column is left out of the result, so that neither scratch tables nor the join by fingerprint carry texts; the rows of one
+fingerprint (all empty texts, say) meet one row of that join, whose large partitions Spark splits.
 """
 
 from __future__ import annotations
@@ -146,12 +147,12 @@ def fingerprint_links(classes: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 
 def simhash_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bucket: int = BUCKET) -> DataFrame:
-    """docs with fingerprint (signed 64 bits) and component_id, the smallest id of the documents reachable over links."""
+    """docs, but for the text, with fingerprint (signed 64 bits) and component_id, the smallest id of the documents reachable over links."""
 
     def make():
         return lambda b: [pa.array([fingerprint(t, shingle) for t in texts(b.column(text_col))], pa.int64())]
 
-    marked = materialize(map_columns(docs, FINGERPRINT, make, drop=("component_id",)), "fingerprints")
+    marked = materialize(map_columns(docs, FINGERPRINT, make, drop=("component_id", text_col)), "fingerprints")
     classes = materialize(marked.groupBy("fingerprint").agg(F.min(id_col).alias("__rep")), "classes")
     nodes = connected_components(fingerprint_links(classes, bucket), "a", "b")
     rooted = classes.join(nodes, classes["fingerprint"] == nodes["node"], "left").select("fingerprint", "__rep", F.coalesce("root", "fingerprint").alias("__root"))
