@@ -1,20 +1,19 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
 Counts of hashed 1- to 3-grams per language give a log-probability matrix, which is broadcast (its size is the
-table of slots times the languages, whatever the corpus); batches are scored in numpy by gathering the
-matrix rows of all n-grams and summing them per document. Priors count all training rows; n-gram counts come from about
+table of slots times the languages, whatever the corpus); batches are scored in numpy as sparse matrices of n-gram counts. Priors count all training rows; n-gram counts come from about
 fit_docs rows a language, drawn by a hash of the id, all rows where a language has fewer.
 
-Defined cases: a text that is null or has no letter is `und` with score 0; without training rows every text is; rows with a null id are
-scored, not learned from and not held out; an empty table gives an empty result; input columns named like a result column are replaced by it.
+Defined cases: a text that is null or has no letter (Unicode category L) is `und` with score 0; without training rows every text is; rows with a null id are
+scored, not learned from and not held out; an empty table gives an empty result;
+very long texts are scored whole, in parts; repeated rows agree; of languages that tie the first in the alphabet wins; input columns named like a result column are replaced by it.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +25,9 @@ from quillon.runtime import flat_map, map_columns
 FIT_DOCS = 3000
 BITS = 16
 GRAMS = (1, 2, 3)
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
+#: N-grams that are scored at once.
+PART = 1 << 18
 MULTIPLIERS = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)
 RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
@@ -54,22 +55,38 @@ def log_matrix(counts: np.ndarray, alpha: float = 0.5) -> np.ndarray:
     return np.ascontiguousarray(np.log(smooth / smooth.sum(axis=1, keepdims=True)).T.astype(np.float32))
 
 
-def score_batch(batch: list[str | None], matrix: np.ndarray, prior: np.ndarray, names: list[str]) -> tuple[list[str], list[float]]:
-    pred, score = [], []
-    for text in batch:
-        if not text or not names or not LETTER.search(text):
-            pred.append("und")
-            score.append(0.0)
-            continue
-        total = prior.astype(np.float64)
+def gram_parts(batch: list[str | None], rows: list[int]):
+    """Sparse counts of the rows' texts: (row, slot, count) arrays, some PART n-grams at once, rows ascending."""
+    keys: list[np.ndarray] = []
+    size = 0
+    for row in rows:
         for n in GRAMS:
-            s = slots(text, n)
-            for at in range(0, len(s), 1 << 16):
-                total = total + matrix[s[at : at + (1 << 16)]].sum(axis=0, dtype=np.float64)
-        p = np.exp(total - total.max())
-        k = int(p.argmax())
-        pred.append(names[k])
-        score.append(float(p[k] / p.sum()))
+            own = slots(batch[row], n)
+            for at in range(0, len(own), PART):
+                keys.append((row << BITS) | own[at : at + PART])
+                size += len(keys[-1])
+                if size >= PART:
+                    yield np.unique(np.concatenate(keys), return_counts=True)
+                    keys, size = [], 0
+    if keys:
+        yield np.unique(np.concatenate(keys), return_counts=True)
+
+
+def score_batch(batch: list[str | None], matrix: np.ndarray, prior: np.ndarray, names: list[str]) -> tuple[list[str], list[float]]:
+    """The batch as a sparse matrix of n-gram counts, times the log matrix."""
+    rows = [k for k, t in enumerate(batch) if t and names and LETTER.search(t)]
+    total = np.tile(prior.astype(np.float64), (len(batch), 1))
+    for key, count in gram_parts(batch, rows):
+        row = key >> BITS
+        first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))) if len(row) else np.zeros(0, np.intp)
+        weighted = matrix[key & ((1 << BITS) - 1)] * count[:, None].astype(np.float64)
+        if len(first):
+            total[row[first]] += np.add.reduceat(weighted, first, axis=0)
+    pred, score = ["und"] * len(batch), [0.0] * len(batch)
+    for k in rows:
+        p = np.exp(total[k] - total[k].max())
+        best = int(p.argmax())
+        pred[k], score[k] = names[best], float(p[best] / p.sum())
     return pred, score
 
 
