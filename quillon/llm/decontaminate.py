@@ -4,17 +4,20 @@ The automaton is built over the words of the normalised test items. A document's
 length of the longest run ending there that occurs in an item, so every run of `window` words of an item is found, and an item
 shorter than that where it occurs whole. Hit words are reported, and removed as spans or with their document.
 
-Items travel as words in slices of bounded size (slice_words); each worker builds a slice's automaton once, and each slice is a pass over the documents, whose hits
-carry over. Documents are never shuffled.
+Items travel as words in slices of bounded size (slice_words), read one after another, so the driver never holds the benchmark; each task builds a slice's automaton
+once. A benchmark of one slice is a map over the documents, which are not shuffled. Of a larger one each slice is a scan of the texts that writes the spans of texts
+with hits alone; they meet their documents in one join at the end.
 
 Defined cases: null and empty texts have no words; items without words never match; repeated items count each; rows are documents, so
-repeated rows give repeated results; an empty table gives an empty result, an empty benchmark no hits; input columns named like a result column are replaced by it.
+repeated rows give repeated results; an empty table gives an empty result, an empty benchmark no hits; very long texts are streamed whole; input columns named like a result column
+are replaced by it, names that start with two underscores are reserved.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import table
-from quillon.runtime import map_columns, materialize
+from quillon.llm.common import row_key, table
+from quillon.runtime import flat_map, map_columns, materialize
 
 WINDOW = 10
 #: Benchmark words in one broadcast.
@@ -150,12 +153,11 @@ class SuffixAutomaton:
         return spans, found
 
 
-_automata: dict[bytes, SuffixAutomaton] = {}
+_automata: dict[str, SuffixAutomaton] = {}
 
 
-def automaton(items: list[tuple[str, list[str]]], window: int) -> SuffixAutomaton:
-    """Built once in a worker for each slice; the last slice only is kept."""
-    key = hashlib.sha256(repr((window, items)).encode("utf-8", "surrogatepass")).digest()
+def automaton(key: str, items: list[tuple[str, list[str]]], window: int) -> SuffixAutomaton:
+    """Built once in a worker for each slice, which the key names; the last slice only is kept."""
     if key not in _automata:
         _automata.clear()
         _automata[key] = SuffixAutomaton(items, window)
@@ -177,83 +179,161 @@ FOUND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hit
 PA_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def item_slices(benchmark: DataFrame, id_col: str, text_col: str, slice_words: int) -> list[list[tuple[str, list[str]]]]:
-    """The items' words, read from the table in slices of at most slice_words words (or one item)."""
-    slices, own, n = [], [], 0
+def item_slices(benchmark: DataFrame, id_col: str, text_col: str, slice_words: int) -> Iterator[list[tuple[str, list[str]]]]:
+    """The items' words, read from the table in slices of at most slice_words words (or one item); at least one slice."""
+    own, n, some = [], 0, False
     for key, text in benchmark.select(F.col(id_col).cast("string"), text_col).orderBy(id_col, text_col).toLocalIterator():
         words = WORD.findall(lower(text or ""))
         if own and n + len(words) > slice_words:
-            slices.append(own)
-            own, n = [], 0
+            yield own
+            own, n, some = [], 0, True
         if words:
             own.append((key if key is not None else "", words))
             n += len(words)
-    return [*slices, own] if own or not slices else slices
+    if own or not some:
+        yield own
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, slice_words: int = SLICE_WORDS) -> DataFrame:
-    """docs with n_words, hit_spans (code points of hit words' runs, end exclusive) as word numbers, and the items found."""
-    out = docs
-    slices = item_slices(benchmark, item_id_col, item_text_col, slice_words)
-    for number, items in enumerate(slices):
+def as_spans(spans: list[tuple[int, int]]) -> list[dict]:
+    return [{"start": s, "end": e} for s, e in spans]
+
+
+def slice_hits(keyed: DataFrame, text_col: str, shared, key: str, window: int) -> DataFrame:
+    """(__k1, __k2, spans, items) of the rows' texts that a slice hits; the scan carries nothing else."""
+    schema = T.StructType([T.StructField("__k1", T.LongType()), T.StructField("__k2", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.StringType()))])
+
+    def run(batches):
+        sam = automaton(key, shared.value, window)
+        for b in batches:
+            out = []
+            for k1, k2, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                spans, found = sam.match(WORD.findall(lower(text or "")))
+                if spans:
+                    out.append((k1, k2, as_spans(union(spans)), sorted(found)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), PA_SPANS, pa.list_(pa.string())))], names=schema.names)
+
+    hits = flat_map(keyed.select("__k1", "__k2", F.col(text_col)), schema, run)
+    return materialize(hits.groupBy("__k1", "__k2").agg(F.first("spans").alias("spans"), F.first("items").alias("items")), "hits")  # equal texts have equal hits
+
+
+def slice_keys(slices: Iterator) -> Iterator[tuple[str, list]]:
+    return ((uuid.uuid4().hex, x) for x in slices)
+
+
+def joined_hits(docs: DataFrame, slices: Iterator, text_col: str, window: int) -> DataFrame:
+    """docs with __spans and __items of all slices, found by scans of the texts and joined once."""
+    keyed = docs.select("*", *row_key(text_col))
+    hits = None
+    for key, items in slice_keys(slices):
         shared = docs.sparkSession.sparkContext.broadcast(items)
+        own = slice_hits(keyed, text_col, shared, key, window)
+        shared.unpersist()
+        hits = own if hits is None else hits.unionByName(own)
+    per = hits.groupBy("__k1", "__k2").agg(F.flatten(F.collect_list("spans")).alias("__spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("__items"))  # a row a slice
+    return keyed.join(per, ["__k1", "__k2"], "left")
+
 
-        def make(shared=shared, number=number):
-            sam = automaton(shared.value, window)
+def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, slice_words: int = SLICE_WORDS) -> DataFrame:
+    """docs with n_words, hit_spans (runs of hit words as word numbers, end exclusive), and the items found."""
+    slices = item_slices(benchmark, item_id_col, item_text_col, slice_words)
+    first, second = next(slices), next(slices, None)
+    if second is not None:
+        both = (x for own in ((first, second), slices) for x in own)
+        rows = joined_hits(docs, both, text_col, window)
 
+        def make():
             def f(b: pa.RecordBatch) -> list[pa.Array]:
-                before = zip(b.column("hit_spans").to_pylist(), b.column("items").to_pylist()) if number else ((None, None) for _ in range(b.num_rows))
-                n, spans, found = [], [], []
-                for text, (old_spans, old_items) in zip(b.column(text_col).to_pylist(), before):
-                    words = WORD.findall(lower(text or ""))
-                    s, k = sam.match(words)
-                    n.append(len(words))
-                    spans.append([{"start": x, "end": y} for x, y in union(s + [(x["start"], x["end"]) for x in old_spans or ()])])
-                    found.append(sorted(k | set(old_items or ())))
-                return [pa.array(n, pa.int64()), pa.array(spans, PA_SPANS), pa.array(found, pa.list_(pa.string()))]
+                n = [len(WORD.findall(lower(t or ""))) for t in b.column(text_col).to_pylist()]
+                spans = [as_spans(union([(x["start"], x["end"]) for x in own or ()])) for own in b.column("__spans").to_pylist()]
+                return [pa.array(n, pa.int64()), pa.array(spans, PA_SPANS), pa.array([x or [] for x in b.column("__items").to_pylist()], pa.list_(pa.string()))]
 
             return f
 
-        out = map_columns(out, FOUND, make)
-        if number + 1 < len(slices):
-            out = materialize(out, "hits")
-    return out
+        return map_columns(rows, FOUND, make, drop=("__k1", "__k2", "__spans", "__items"))
+    shared, key = docs.sparkSession.sparkContext.broadcast(first), uuid.uuid4().hex
+
+    def make_one():
+        sam = automaton(key, shared.value, window)
+
+        def f(b: pa.RecordBatch) -> list[pa.Array]:
+            n, spans, found = [], [], []
+            for text in b.column(text_col).to_pylist():
+                words = WORD.findall(lower(text or ""))
+                s, k = sam.match(words)
+                n.append(len(words))
+                spans.append(as_spans(union(s)))
+                found.append(sorted(k))
+            return [pa.array(n, pa.int64()), pa.array(spans, PA_SPANS), pa.array(found, pa.list_(pa.string()))]
+
+        return f
+
+    return map_columns(docs, FOUND, make_one)
+
+
+def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the spans of words, each from its first to its last word."""
+    at = [m.span() for m in WORD.finditer(lower(text))]
+    for s, e in reversed(spans):
+        text = text[: at[s][0]] + text[at[e - 1][1] :]
+    return text
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, max_coverage: float = 0.5, slice_words: int = SLICE_WORDS) -> DataFrame:
     """docs whose hit words cover at most max_coverage of their words, without the hit spans.
 
-    A span is cut from its first to its last hit word; where the cut makes a new window meet, it is cut again. Slices are cut one after another, as often as any cuts.
+    A span is cut from its first to its last hit word; where the cut makes a new window meet, it is cut again. With several slices the rows that a round cuts, and they
+    alone, go through another one.
     """
-    shared = [docs.sparkSession.sparkContext.broadcast(x) for x in item_slices(benchmark, item_id_col, item_text_col, slice_words)]
-    cut = T.StructType([docs.schema[text_col], T.StructField("__cover", T.DoubleType())])
+    names = docs.columns
+    slices = item_slices(benchmark, item_id_col, item_text_col, slice_words)
+    first, second = next(slices), next(slices, None)
+    cut = T.StructType([docs.schema[text_col], *(T.StructField(x, T.LongType()) for x in ("__words", "__hit", "__round"))])
+    if second is None:
+        shared, key = docs.sparkSession.sparkContext.broadcast(first), uuid.uuid4().hex
 
-    def make():
-        def f(b: pa.RecordBatch) -> list[pa.Array]:
-            new = [None if t is None else t for t in b.column(text_col).to_pylist()]
-            words = [len(WORD.findall(lower(t))) if t else 0 for t in new]
-            hit = [0] * len(new)
-            todo = [k for k, t in enumerate(new) if t]
-            while todo:
-                again = set()
-                for x in shared:
-                    sam = automaton(x.value, window)
-                    for k in todo:
-                        low = lower(new[k])
-                        spans = union(sam.match(WORD.findall(low))[0])
-                        if spans:
-                            at = [m.span() for m in WORD.finditer(low)]
-                            for s, e in reversed(spans):
-                                new[k] = new[k][: at[s][0]] + new[k][at[e - 1][1] :]
-                                hit[k] += e - s
-                            again.add(k)
-                todo = sorted(again)
-            return [pa.array(new, pa.string()), pa.array([h / w if w else 0.0 for h, w in zip(hit, words)], pa.float64())]
+        def make():
+            sam = automaton(key, shared.value, window)
 
-        return f
+            def f(b: pa.RecordBatch) -> list[pa.Array]:
+                new, words, hit = list(b.column(text_col).to_pylist()), [], []
+                for k, t in enumerate(new):
+                    own = WORD.findall(lower(t or ""))
+                    words.append(len(own))
+                    hit.append(0)
+                    while spans := union(sam.match(own)[0]):
+                        hit[-1] += sum(e - s for s, e in spans)
+                        new[k] = cut_words(new[k], spans)
+                        own = WORD.findall(lower(new[k]))
+                return [pa.array(new, pa.string()), pa.array(words, pa.int64()), pa.array(hit, pa.int64()), pa.array([0] * len(new), pa.int64())]
 
-    names = docs.columns
-    return map_columns(docs, cut, make).filter(F.col("__cover") <= max_coverage).select(*names)
+            return f
+
+        out = map_columns(docs, cut, make)
+    else:
+        def make_round():
+            def f(b: pa.RecordBatch) -> list[pa.Array]:
+                new, words, hit, again = [], [], [], []
+                for t, own, w, h in zip(b.column(text_col).to_pylist(), b.column("__spans").to_pylist(), b.column("__words").to_pylist(), b.column("__hit").to_pylist()):
+                    spans = union([(x["start"], x["end"]) for x in own or ()])
+                    words.append(len(WORD.findall(lower(t or ""))) if w is None else w)
+                    hit.append((h or 0) + sum(e - s for s, e in spans))
+                    new.append(cut_words(t, spans) if spans else t)
+                    again.append(int(bool(spans)))
+                return [pa.array(new, pa.string()), pa.array(words, pa.int64()), pa.array(hit, pa.int64()), pa.array(again, pa.int64())]
+
+            return f
+
+        both = (x for own in ((first, second), slices) for x in own)
+        empty = F.lit(None).cast("long")
+        todo, out = docs.withColumns({"__words": empty, "__hit": empty}), None
+        while True:
+            rows = materialize(map_columns(joined_hits(todo, both, text_col, window), cut, make_round, drop=("__k1", "__k2", "__spans", "__items")), "cut")
+            out = rows.filter("__round = 0") if out is None else out.unionByName(rows.filter("__round = 0"))
+            todo = rows.filter("__round = 1").drop("__round")
+            if todo.isEmpty():
+                break
+            both = item_slices(benchmark, item_id_col, item_text_col, slice_words)
+    return out.filter((F.col("__hit") <= F.col("__words") * max_coverage) | (F.col("__words") == 0)).select(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
