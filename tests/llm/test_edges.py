@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quillon.llm import chat_format, decontaminate, exact_dedup, language_id, line_dedup, packing, pii, quality, simhash, substring_dedup
@@ -69,12 +70,20 @@ def test_exact_dedup_in_slices(spark):
     assert tuple(got) == (700, 70_000, 699, 100)
 
 
+def plain_fingerprint(text):
+    """The contract's fingerprint, bit by bit."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text.translate({c: c + 32 for c in range(65, 91)}))
+    own = [" ".join(words[k : k + 3]) for k in range(len(words) - 2)] or [" ".join(words)] * bool(words)
+    h = [xxhash.xxh64_intdigest(x.encode(), seed=42) for x in own]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
 @pytest.mark.parametrize("bucket", [256, 1])
 def test_simhash(docs, none, bucket):
-    rows = simhash.simhash_near_dedup(docs, bucket=bucket).collect()
-    own = [(r.doc_id, simhash.fingerprint((r.text or "").encode())) for r in rows]
-    assert all(r.fingerprint == f for r, (_, f) in zip(rows, own))
-    fps = np.array([f for _, f in own], np.int64).view(np.uint64)
+    rows = simhash.simhash_near_dedup(docs.withColumn("body", F.col("text")), bucket=bucket).collect()
+    own = [(r.doc_id, plain_fingerprint(r.body or "")) for r in rows]
+    assert all(r.fingerprint % 2**64 == f for r, (_, f) in zip(rows, own)) and "text" not in rows[0].asDict()
+    fps = np.array([f for _, f in own], np.uint64)
     near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2
     label = list(range(len(rows)))
     for _ in rows:
@@ -145,17 +154,24 @@ def test_decontamination_coverage_counts_capitals(spark):
     assert clean == {1: "AB " * 45, 4: "AB " * 45}
 
 
+@pytest.mark.parametrize("passage", [None, 24])
 @pytest.mark.parametrize("classes", [256, 1])
-def test_substring_dedup(docs, none, classes):
+def test_substring_dedup(docs, none, classes, passage):
     df = docs.unionByName(docs.sparkSession.createDataFrame([(20, "xx" + "abcdefghij" * 4 + "q", ""), (21, "y" + "abcdefghij" * 4 + "zz", ""), (22, "p" + "abcdefghij" * 3 + "abcdefghi", "")], "doc_id bigint, text string, lang string"), allowMissingColumns=True)
-    rows = substring_dedup.substring_dedup(df, length=40, q=10, classes=classes).collect()
+    rows = substring_dedup.substring_dedup(df, length=40, q=10, classes=classes, passage=passage, passage_q=8).collect()
     texts = [(r.text or "").encode() for r in rows]
-    count = Counter(t[i : i + 40] for t in texts for i in range(len(t) - 39))
-    for r, t in zip(rows, texts):
+    n = {k: Counter(t[i : i + k] for t in texts for i in range(len(t) - k + 1)) for k in (24, 40)}
+
+    def covered(t, k):
         gone = np.zeros(len(t), bool)
-        for i in range(len(t) - 39):
-            if count[t[i : i + 40]] > 1:
-                gone[i : i + 40] = True
+        for i in range(len(t) - k + 1):
+            if n[k][t[i : i + k]] > 1:
+                gone[i : i + k] = True
+        return gone
+
+    for r, t in zip(rows, texts):
+        gone = covered(t, 40)
+        assert passage is None or r.n_passage_bytes == covered(t, 24).sum()
         assert (r.n_bytes, r.n_removed, bytes(r.kept)) == (len(t), int(gone.sum()), np.frombuffer(t, np.uint8)[~gone].tobytes())
     assert substring_dedup.substring_dedup(none).count() == 0
 
@@ -250,3 +266,74 @@ def test_chat(spark):
 def test_pii_candidates_spelled_at(at):
     text = f"write to john {at} example.com today"
     assert (9, 0, text.index(" today")) in pii.candidates(text)
+
+
+@pytest.mark.parametrize("text", ["½ ²", "① 12", "", None, "!!", "\u0903", "٣"])
+def test_language_needs_a_letter(text):
+    names, matrix, prior = ["en"], np.zeros((1 << language_id.BITS, 1), np.float32), np.zeros(1)
+    assert language_id.score_batch([text, "ab", "日"], matrix, prior, names) == (["und", "en", "en"], [0.0, 1.0, 1.0])
+
+
+def test_language_scores_are_sums():
+    rng = np.random.default_rng(8)
+    matrix, prior, names = rng.normal(size=(1 << language_id.BITS, 3)).astype(np.float32), rng.normal(size=3), ["a", "b", "c"]
+    batch = ["one two", "Δ five", "x" * 300_000, "one two"]
+    pred, score = language_id.score_batch(batch, matrix, prior, names)
+    for k, t in enumerate(batch):
+        total = prior + sum(matrix[language_id.slots(t, n)].sum(axis=0, dtype=float) for n in language_id.GRAMS)
+        p = np.exp(total - total.max())
+        assert pred[k] == names[p.argmax()] and abs(score[k] - p.max() / p.sum()) < 1e-9
+    assert score[0] == score[3]
+
+
+def test_decontamination_cuts_again_in_slices(spark):
+    items = [(1, " ".join(f"a{k}" for k in range(10))), (2, " ".join(f"b{k}" for k in range(10)))]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    text = "x " + " ".join(f"a{k}" for k in range(5)) + " " + items[1][1] + " " + " ".join(f"a{k}" for k in range(5, 10)) + " y" * 60
+    docs = spark.createDataFrame([(1, text, 3), (2, None, 4), (1, text, 3), (3, "clean", 5)], "doc_id bigint, text string, __words int").withColumnRenamed("__words", "other")
+    got = [decontaminate.decontaminate(docs, bench, slice_words=n).orderBy("doc_id").collect() for n in (5, 1000)]
+    assert got[0] == got[1] and [r.doc_id for r in got[0]] == [1, 1, 2, 3] and got[0][0].text.split() == ["x", *["y"] * 60]
+
+
+def plain_base(text):
+    """The contract's base spans by its regular expressions."""
+    digits = lambda m: re.sub("[^0-9]", "", m)
+    octets = lambda m: all(int(x) <= 255 for x in m.split("."))
+    luhn = lambda d: sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
+    kinds = [
+        (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", octets),
+        (r"[0-9]([\x20-]?[0-9])+", lambda m: 12 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(digits(m)) <= 15),
+    ]
+    return sorted((m.start(), k, m.end()) for k, (pattern, ok) in enumerate(kinds) for m in re.finditer(pattern, text) if ok(m[0]))
+
+
+def test_pii_base_against_plain_patterns():
+    rng = np.random.default_rng(12)
+    parts = ["4111 1111 1111 1111", "+1 (212) 555-0187", "10.0.0.1", "a.b@c.de", "@", ".", "+", "-", " ", "é", "1", "256.1.1.1", "0", "x@y", "12345678901234567890", "(", ")", "a", "\n", "5500-0000-0000-0004"]
+    for _ in range(4000):
+        text = "".join(parts[k] for k in rng.integers(0, len(parts), int(rng.integers(1, 14))))
+        assert pii.base_spans(text) == plain_base(text), text
+
+
+def test_pii_learned_spans_gain():
+    """Planted spans that the base has no format for are found, look-alikes are left."""
+    model = pii.fit()
+    assert all(0 < t < 1 for t in model[3])
+    find = lambda t: {(t[s:e], pii.KINDS[k]) for s, k, e in pii.added_spans(t, pii.base_spans(t), model)}
+    private = {
+        "the parent token = \"9b0b3c6a43eb78aa99cbd7049c572391524f37a8\" was read": ("9b0b3c6a43eb78aa99cbd7049c572391524f37a8", "secret"),
+        "she paid with card 4000 1234 5678 9011 then": ("4000 1234 5678 9011", "card"),
+        "her number 7536784127813050 4845168114407329 and": ("7536784127813050", "card"),
+        "call (017) 555-7713 now": ("(017) 555-7713", "phone"),
+        "ping 2001:db8::8a2e:370:7334 again": ("2001:db8::8a2e:370:7334", "ip"),
+    }
+    assert all(span in find(t) for t, span in private.items())
+    clean = ["version 4.12.2024 of 2023-10-11", "order 20231011-123456", "commit 9b0b3c6a43eb78aa99cbd7049c572391524f37a8 fixes", "std::dec at 12:30:45:01", "1:1:1:" * 20_000, "pi is 3.14159265358979", "Licensed under CC BY-NC 4.0, version 3.", "pages 1000-2000"]
+    assert not any(find(t) for t in clean)
+    x, y, kind = pii.examples(1500, seed=99)  # unseen examples
+    trees, a, b, thresholds = model
+    p = np.array([1 / (1 + np.exp(-(a * pii.margin(trees, r) + b))) for r in x])
+    chosen = p >= np.array(thresholds)[kind]
+    assert y[chosen].mean() > 0.93 and chosen[y == 1].mean() > 0.7
