@@ -58,6 +58,11 @@ def snapshot(rows: DataFrame, id_col: str, payload: str) -> DataFrame:
     return rows.select(id_col, F.regexp_replace(F.base64(F.encode(payload, "UTF-8")), r"\s", "").alias("payload"), F.sha2(payload, 256).alias("payload_sha256"))
 
 
+def canonical_json(rows: DataFrame) -> Column:
+    """A row as JSON with its columns in sorted order, nulls kept."""
+    return F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"})
+
+
 def append_batch(batch: DataFrame, path: str, key: str, rules: list[tuple[str, str, Column, str]]) -> DataFrame:
     """Append a batch to a Parquet entity, all or nothing. Returns its issues; rows are written only where none is an ERROR.
 

@@ -122,6 +122,45 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     return readers[kind](spark, path)
 
 
+def read_sheet(spark: SparkSession, path: str) -> DataFrame:
+    """(path, source_row, cells) of the first sheets of workbooks, rows numbered from 0, for imports.sheet_cells and its like."""
+    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("source_row", T.LongType()), T.StructField("cells", T.ArrayType(T.StringType()))])
+
+    def run(frames):
+        for pdf in frames:
+            for name, content in zip(pdf["path"], pdf["content"]):
+                rows = sheet_rows(bytes(content))
+                yield pd.DataFrame({"path": [name] * len(rows), "source_row": range(len(rows)), "cells": rows})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
+
+
+def read_bounded_csv(spark: SparkSession, path: str, required: list[str]) -> tuple[list[str], DataFrame, int]:
+    """(header, rows as (source_row, cells), blank rows) of one strict UTF-8 CSV file within the import's bounds; files beyond them are refused, never cut."""
+    import csv
+    import io
+
+    from quillon.operators.imports import MAX_BYTES, MAX_COLUMNS, MAX_ROWS
+
+    file = spark.read.format("binaryFile").load(path).select("length", "content").filter(F.col("length") <= MAX_BYTES).head(2)
+    if len(file) != 1:
+        raise ValueError(f"one file with a header, of at most {MAX_BYTES} bytes, is needed")
+    try:
+        lines = list(csv.reader(io.StringIO(bytes(file[0]["content"]).decode("utf-8-sig"), newline=""), strict=True))
+    except (UnicodeDecodeError, csv.Error) as e:
+        raise ValueError(f"not strict UTF-8 CSV: {e}") from e
+    header = [h.strip() for h in lines[0]] if lines else []
+    if not header or len(header) > MAX_COLUMNS or not all(header) or len(set(header)) < len(header):
+        raise ValueError("the header must name up to 256 different columns")
+    if missing := sorted(set(required) - set(header)):
+        raise ValueError(f"missing required columns: {', '.join(missing)}")
+    body = [(k, r) for k, r in enumerate(lines[1:], 2)]
+    if len(body) > MAX_ROWS:
+        raise ValueError(f"more than {MAX_ROWS} rows")
+    full = [(k, r) for k, r in body if any(c != "" for c in r)]
+    return header, spark.createDataFrame(full, "source_row bigint, cells array<string>"), len(body) - len(full)
+
+
 ALIASES = {"antibody_id": ("id", "antibodyid", "name", "antibody"), "VH": ("vh", "heavy", "heavychain", "vhsequence", "hc"), "VL": ("vl", "light", "lightchain", "vlsequence", "lc")}
 
 

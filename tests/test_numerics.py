@@ -179,3 +179,17 @@ def test_running_sums_in_groups(spark):
     assert [round(q[k], 9) for k in "xyz"] == [0.03, 0.03, 0.5] and q["n"] is None
     grouped = benjamini_hochberg(p.withColumn("g", F.lit(None).cast("string")), "p", ["g"])
     assert {r.id: r.q for r in grouped.collect()} == q
+
+
+def test_covariance_issue():
+    import numpy as np
+
+    from quillon.operators.assays import covariance_issue
+
+    load = np.diag([1.0, 1e-100, 0.0, 2.0, 3.0])
+    good = load @ load.T / 3
+    assert covariance_issue(load, good) is None
+    for at, value, why in (((0, 0), -1.0, "NEGATIVE_VARIANCE"), ((2, 2), 1.0, "COVARIANCE_LOADING_MISMATCH"), ((0, 3), 0.1, "INVALID_COVARIANCE"), ((4, 4), 1.0, "COVARIANCE_LOADING_MISMATCH")):
+        cov = good.copy()
+        cov[at] = value
+        assert covariance_issue(load, cov) == why
