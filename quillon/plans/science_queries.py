@@ -192,14 +192,21 @@ def embedding_guards(spark, sf):
     return learning.embedding_guards(table(spark, sf, "embeddings"), "embedding", 64)
 
 
+#: The oracle's own values, by residue in the order ACDEFGHIKLMNPQRSTVWY.
+ORACLE_PROPERTIES = {
+    "hydropathy": "1.8 2.5 -3.5 -3.5 2.8 -0.4 -3.2 4.5 -3.9 3.8 1.9 -3.5 -1.6 -3.5 -4.5 -0.8 -0.7 4.2 -0.9 -1.3",
+    "volume": "67 86 91 109 135 48 118 124 135 124 124 96 90 114 148 73 93 105 163 141",
+    "charge": "0 0 -1 -1 0 0 0.5 0 1 0 0 0 0 0 1 0 0 0 0 0",
+    "polarity": "8 1 101 101 0 0 63 0 90 0 0 91 42 91 52 98 69 0 26 36",
+}
+
+
 def _property_sql() -> str:
-    out = []
-    for name, values in learning.PROPERTIES.items():
-        out.append(f"list_transform(string_split(seq, ''), lambda x: CASE x {' '.join(f'WHEN {chr(39)}{r}{chr(39)} THEN {v}::DOUBLE' for r, v in zip(learning.RESIDUES, values))} ELSE 0.0::DOUBLE END) AS {name}")
-    return ", ".join(out)
+    values = lambda text: ", ".join(f"{v}::DOUBLE" for v in text.split())
+    return ", ".join(f"list_transform(string_split(seq, ''), lambda x: ([{values(text)}])[instr('ACDEFGHIKLMNPQRSTVWY', x)]) AS {name}" for name, text in ORACLE_PROPERTIES.items())
 
 
-@query("ml_property_features", f"WITH {CHAINS}, v AS (SELECT antibody_id, chain, length(seq) AS n, {_property_sql()} FROM chains WHERE seq <> '') SELECT antibody_id, chain, round(n / 120, 6) AS length, " + ", ".join(f"round(list_avg({p}), 6) AS {p}_mean, round(list_stddev_pop({p}), 5) AS {p}_std, round(list_min({p}), 6) AS {p}_min, round(list_max({p}), 6) AS {p}_max" for p in learning.PROPERTIES) + " FROM v")
+@query("ml_property_features", f"WITH {CHAINS}, v AS (SELECT antibody_id, chain, length(seq) AS n, {_property_sql()} FROM chains WHERE seq <> '') SELECT antibody_id, chain, round(n / 120, 6) AS length, " + ", ".join(f"round(list_avg({p}), 6) AS {p}_mean, round(list_stddev_pop({p}), 5) AS {p}_std, round(list_min({p}), 6) AS {p}_min, round(list_max({p}), 6) AS {p}_max" for p in ORACLE_PROPERTIES) + " FROM v")
 def property_features(spark, sf):
     c = rules.chains(pairs(spark, sf), "antibody_id").filter("seq <> ''")
     out = c.select("antibody_id", "chain", *learning.property_stats(F.col("seq")))
@@ -208,7 +215,8 @@ def property_features(spark, sf):
 
 @query("ml_kmer_bins")
 def kmer_bins(spark, sf):
-    return pairs(spark, sf).select("antibody_id", F.array_join(F.transform(learning.hashed_kmers(F.col("VH"), 32), lambda x: F.round(x, 6).cast("string")), ";").alias("bins"))
+    shown = lambda c: F.array_join(F.transform(learning.hashed_kmers(F.col(c)), lambda x: F.round(x, 6).cast("string")), ";").alias(c)
+    return pairs(spark, sf).select("antibody_id", shown("VH"), shown("VL"))
 
 
 @query("ml_blocks", "SELECT feature, round(variance, 8) AS variance, variance = 0 AS zero_variance FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, var_pop({c}) AS variance FROM lineitem" for c in ("l_quantity", "l_discount", "l_tax")) + ")")
@@ -228,10 +236,3 @@ def hash_split(spark, sf):
     return table(spark, sf, "documents").select("doc_id", s.alias("split"))
 
 
-@query("ml_mutation_delta", "SELECT user_id, round(max(value) FILTER (event_type = 'click') - max(value) FILTER (event_type = 'view'), 6) AS delta FROM events GROUP BY user_id")
-def mutation_delta(spark, sf):
-    e = table(spark, sf, "events")
-    of = lambda k: F.max(F.when(F.col("event_type") == k, F.col("value")))
-    return e.groupBy("user_id").agg(F.round(of("click") - of("view"), 6).alias("delta"))
-
-
