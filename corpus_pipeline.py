@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import decontaminate, line_dedup, packing, quality, similar
@@ -21,38 +21,50 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 QUALITY = 0.3
 
 
+def shielded(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its further columns under names that no operator's result has, and those names."""
+    names = {c: f"column {k} kept" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text", "n_chars")}
+    return docs.withColumnsRenamed(names), names
+
+
+def restored(out: DataFrame, docs: DataFrame, names: dict[str, str], **changed: Column) -> DataFrame:
+    """The columns of docs, each under its own name again, or as changed."""
+    return out.select(*[changed.get(c, F.col(f"`{names.get(c, c)}`")).alias(c) for c in docs.columns])
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
-    scored = quality.quality_scores(docs, quality.contract_model(spark, docs, sf_dir))
-    return scored.filter(F.col("score") >= QUALITY).select(*docs.columns)
+    """Documents that the quality classifier does not reject. Null and empty texts are scored like others; repeated rows share their fate."""
+    own, names = shielded(docs)
+    scored = quality.quality_scores(own, quality.contract_model(spark, docs.select("doc_id", "text"), sf_dir))
+    return restored(scored.filter(F.col("score") >= QUALITY), docs, names)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that ten documents or more have."""
-    out = line_dedup.line_dedup(docs)
-    text = F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    return out.withColumns({"text": text, "n_chars": F.when(F.col("n_dropped") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))}).select(*docs.columns)
+    """Documents without the lines that ten documents or more have; all rows stay. A null text stays null unless it loses a line."""
+    own, names = shielded(docs)
+    out = line_dedup.line_dedup(own)
+    cut = F.col("n_dropped") > 0
+    return restored(out, docs, names, text=F.when(cut, F.col("kept_text")).otherwise(F.col("text")), n_chars=F.when(cut, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group whose five-word shingles are similar to 0.8 or more."""
+    """One document, that of the smallest id, of each group whose five-word shingles are similar to 0.8 or more; texts without words, null ones too, are one group."""
     return similar.representatives(docs, shingle=5, similarity=0.8)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the spans that they share with the benchmark; those that mostly consist of such spans go."""
-    out = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Documents without the spans that they share with the benchmark; those that mostly consist of such spans go. Texts without words stay."""
+    own, names = shielded(docs)
+    out = decontaminate.decontaminate(own, table(spark, sf_dir, "benchmark"))
+    return restored(out, docs, names, n_chars=F.length("text").cast("long"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences of 2048 tokens."""
+    """The pieces of all documents, null and empty ones too, and their places in sequences of 2048 tokens; very long texts are cut into pieces."""
     packed = packing.pack(docs, packing.default_tokenizer())
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-
-
 def tidy(stage: Stage, keep: bool = False) -> Stage:
     """The stage, which deletes the pipeline's scratch tables so far and, unless they are to be kept, leaves its own to the next one."""
 

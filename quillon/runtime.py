@@ -62,6 +62,8 @@ def scratch_dir(spark: SparkSession) -> str:
     if not root:
         root = spark.conf.get("quillon.scratch.dir", None)
         if not root:
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             root = tempfile.mkdtemp(prefix="quillon-")
             spark.conf.set("quillon.scratch.dir", root)
     return root.rstrip("/")
