@@ -151,7 +151,17 @@ def components_exact(spark, sf):
     return identity.hashed_components(entity_components(spark, sf), "doc_id")
 
 
-@query("split_greedy")
+GREEDY = f"""{ENTITY}, z AS (SELECT component, count(*) AS size FROM comp GROUP BY component), t AS (SELECT sum(size) AS total FROM z),
+o AS (SELECT component, size, row_number() OVER (ORDER BY size DESC, component) AS k FROM z),
+fold(k, component, size, split, a, b, c) AS (
+  SELECT 0::BIGINT, NULL::BIGINT, 0::BIGINT, '', 0.6::DOUBLE * total, 0.2::DOUBLE * total, 0.2::DOUBLE * total FROM t
+  UNION ALL SELECT o.k, o.component, o.size, CASE WHEN a >= b AND a >= c THEN 'TRAIN' WHEN b >= c THEN 'VALIDATION' ELSE 'TEST' END,
+    CASE WHEN a >= b AND a >= c THEN a - o.size ELSE a END, CASE WHEN NOT (a >= b AND a >= c) AND b >= c THEN b - o.size ELSE b END, CASE WHEN NOT (a >= b AND a >= c) AND NOT b >= c THEN c - o.size ELSE c END
+  FROM fold JOIN o ON o.k = fold.k + 1)
+SELECT component, size, split FROM fold WHERE k > 0"""
+
+
+@query("split_greedy", GREEDY)
 def split_greedy(spark, sf):
     sizes = entity_components(spark, sf).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     return identity.greedy_split(sizes, "component", "size")
@@ -224,13 +234,23 @@ def blocks(spark, sf):
     return learning.block_report(table(spark, sf, "lineitem"), ["l_quantity", "l_discount", "l_tax"])
 
 
-@query("ml_ridge_grid")
+#: The three normal equations by Cramer's rule.
+RIDGE = """WITH m AS (SELECT count(*)::DOUBLE AS n, avg(l_quantity) AS ma, avg(l_discount) AS mb, avg(l_tax) AS mc, avg(l_extendedprice) AS my, stddev_pop(l_quantity) AS sa, stddev_pop(l_discount) AS sb, stddev_pop(l_tax) AS sc,
+  corr(l_quantity, l_discount) AS ab, corr(l_quantity, l_tax) AS ac, corr(l_discount, l_tax) AS bc, covar_pop(l_quantity, l_extendedprice) AS ay, covar_pop(l_discount, l_extendedprice) AS by_, covar_pop(l_tax, l_extendedprice) AS cy FROM lineitem),
+g AS (SELECT *, 1 + alpha / n AS d, ay / sa AS pa, by_ / sb AS pb, cy / sc AS pc FROM m, (VALUES (0.1::DOUBLE), (1.0), (10.0), (100.0)) x(alpha)),
+w AS (SELECT *, d * (d * d - bc * bc) - ab * (ab * d - bc * ac) + ac * (ab * bc - d * ac) AS t,
+  pa * (d * d - bc * bc) - ab * (pb * d - bc * pc) + ac * (pb * bc - d * pc) AS ta, d * (pb * d - bc * pc) - pa * (ab * d - bc * ac) + ac * (ab * pc - pb * ac) AS tb, d * (d * pc - pb * bc) - ab * (ab * pc - pb * ac) + pa * (ab * bc - d * ac) AS tc FROM g)
+SELECT alpha, round(my - ta / t / sa * ma - tb / t / sb * mb - tc / t / sc * mc, 4) AS intercept, round(ta / t / sa, 5) AS quantity, round(tb / t / sb, 4) AS discount, round(tc / t / sc, 4) AS tax FROM w"""
+
+
+@query("ml_ridge_grid", RIDGE)
 def ridge(spark, sf):
     rows = learning.ridge_grid(table(spark, sf, "lineitem"), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", [0.1, 1.0, 10.0, 100.0])
-    return spark.createDataFrame([(a, *w) for a, w in rows], "alpha double, intercept double, quantity double, discount double, tax double")
+    digits = (4, 5, 4, 4)
+    return spark.createDataFrame([(a, *(round(x, d) for x, d in zip(w, digits))) for a, w in rows], "alpha double, intercept double, quantity double, discount double, tax double")
 
 
-@query("ml_hash_split")
+@query("ml_hash_split", "SELECT doc_id, CASE WHEN u < 0.6::DOUBLE THEN 'TRAIN' WHEN u < 0.6::DOUBLE + 0.2::DOUBLE THEN 'VALIDATION' ELSE 'TEST' END AS split FROM (SELECT doc_id, ('0x' || substr(md5('split' || doc_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM documents)")
 def hash_split(spark, sf):
     s = learning.hash_split(F.col("doc_id"), {"TRAIN": 0.6, "VALIDATION": 0.2, "TEST": 0.2})
     return table(spark, sf, "documents").select("doc_id", s.alias("split"))

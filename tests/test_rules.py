@@ -79,3 +79,21 @@ def test_validation_order(spark):
     df = spark.createDataFrame([(k, c[0]) for k, c in enumerate(cases)], "k int, s string")
     got = {r.k: r.e for r in df.select("k", sequences.validation_error(F.col("s")).alias("e")).collect()}
     assert [got[k] for k in range(len(cases))] == [c[1] for c in cases]
+
+
+def test_sql_functions(spark):
+    from pyspark.sql import functions as F
+
+    from quillon.functions import rules, sequences, sql
+
+    sql.register(spark)
+    heavy, light = "EVQL" + "A" * 80, "DIQM" + "A" * 80
+    rows = spark.createDataFrame([(heavy,), (light,), ("EVQL",), (None,), (heavy.lower() + " ",), ("A" * 90,)], "s string")
+    for r in rows.select(F.expr("infer_chain(s)").alias("a"), sequences.infer_chain(F.col("s")).alias("b")).collect():
+        assert r.a == r.b
+    text = "MNGSNNTADGSSSSSSSPTNATNAT" * 5
+    for version in rules.VERSIONS:
+        got = spark.sql(f"SELECT * FROM scan_sites('{text}', '{version}')").collect()
+        pairs = spark.createDataFrame([(1, text, "")], "k int, VH string, VL string")
+        want = rules.scan_sites(rules.chains(pairs, "k"), "k", version=version).select("motif", "category", "pos_start", "pos_end", "region", "context").collect()
+        assert sorted(got) == sorted(want) and {r.category for r in got} == set(rules.CATEGORY_OF)
