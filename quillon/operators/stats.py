@@ -216,12 +216,15 @@ def tau_b(cells: list[tuple[float, float, int]]) -> float | None:
     return net / math.sqrt((total - tx) * (total - ty)) if total > tx and total > ty else None
 
 
-def bootstrap(rows: DataFrame, by: list[str], x: str, y: str, resamples: int = 2000, seed: int = 20260919) -> DataFrame:
-    """(by, rho, low, high): percentile interval of Spearman's rho over resamples of each group's rows, from one generator a group.
+def bootstrap(rows: DataFrame, by: list[str], x: str, y: str, resamples: int = 2000, seed: int = 20260919, statistic: str = "spearman") -> DataFrame:
+    """(by, rho, low, high, degenerate): percentile interval of Spearman's rho, Pearson's r or Kendall's tau-b over resamples of each group's rows, from one generator a group.
 
     A resample of rows is a multinomial draw of the counts of the group's distinct (x, y), which one task holds: what it costs is bounded by them, not by the rows.
+    Resamples in which a side has one value have no correlation; they are counted and left out of the interval.
     """
-    schema = T.StructType([*[rows.schema[c] for c in by], T.StructField("rho", T.DoubleType()), T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())])
+    if statistic not in ("spearman", "pearson", "kendall"):
+        raise ValueError(f"no statistic {statistic!r}")
+    schema = T.StructType([*[rows.schema[c] for c in by], T.StructField("rho", T.DoubleType()), T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType()), T.StructField("degenerate", T.LongType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf.dropna(subset=[x, y]).sort_values([x, y])
@@ -229,13 +232,21 @@ def bootstrap(rows: DataFrame, by: list[str], x: str, y: str, resamples: int = 2
         count = own["__n"].to_numpy(np.int64)
         n = int(count.sum())
         if n < 3:
-            return pd.DataFrame([[*key, None, None, None]], columns=schema.names)
+            return pd.DataFrame([[*key, None, None, None, None]], columns=schema.names)
         rng = np.random.Generator(np.random.PCG64(seed))
-        places = [np.unique(own[c].to_numpy(float), return_inverse=True)[1] for c in (x, y)]
+        values = [own[c].to_numpy(float) for c in (x, y)]
+        places = [np.unique(v, return_inverse=True)[1] for v in values]
 
         def rho(weights):
+            if statistic == "kendall":
+                used = weights > 0
+                tau = tau_b(list(zip(values[0][used].tolist(), values[1][used].tolist(), weights[used].astype(int).tolist())))
+                return np.nan if tau is None else tau
             centred = []
-            for at in places:
+            for at, value in zip(places, values):
+                if statistic == "pearson":
+                    centred.append(value - weights @ value / n)
+                    continue
                 ties = np.bincount(at, weights)
                 centred.append((np.cumsum(ties) - (ties - 1) / 2 - (n + 1) / 2)[at])  # average ranks less their mean
             u, v = centred
@@ -244,7 +255,7 @@ def bootstrap(rows: DataFrame, by: list[str], x: str, y: str, resamples: int = 2
 
         draws = np.array([rho(rng.multinomial(n, count / n).astype(float)) for _ in range(resamples)])
         low, high = np.nanquantile(draws, [0.025, 0.975]) if (~np.isnan(draws)).any() else (None, None)
-        return pd.DataFrame([[*key, rho(count.astype(float)), low, high]], columns=schema.names)
+        return pd.DataFrame([[*key, rho(count.astype(float)), low, high, int(np.isnan(draws).sum())]], columns=schema.names)
 
     return rows.groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("__n")).groupBy(*by).applyInPandas(run, schema)
 
@@ -285,3 +296,12 @@ def logistic(rows: DataFrame, features: list[str], label: str, steps: int = 25)
             break
     se = np.sqrt(np.diag(np.linalg.inv(h)))
     return [(n, float(a), float(b)) for n, a, b in zip(["intercept", *features], w, se)]
+
+
+def wald(rows: list[tuple[str, float, float]]) -> list[tuple]:
+    """(term, coefficient, standard error, odds ratio, its 95 % bounds, two-sided p) of a logistic model's terms."""
+    out = []
+    for term, a, se in rows:
+        z = abs(a) / se if se else math.inf
+        out.append((term, a, se, math.exp(a), math.exp(a - 1.959963984540054 * se), math.exp(a + 1.959963984540054 * se), math.erfc(z / math.sqrt(2))))
+    return out

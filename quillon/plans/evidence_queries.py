@@ -148,5 +148,5 @@ def residual(spark, sf):
 
 @query("hash_vectors")
 def hash_vectors(spark, sf):
-    v = table(spark, sf, "benchmark").select("item_id", evidence.hashed_vector(F.col("text"), 64).alias("v"))
+    v = table(spark, sf, "benchmark").select("item_id", evidence.hashed_vector(F.col("text")).alias("v"))
     return retrieval.cosine_top_k(v, "item_id", "v", v, "item_id", "v", 2)

@@ -153,5 +153,15 @@ def bootstrap(spark, sf):
 @query("logistic_wald")
 def logistic(spark, sf):
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select(F.log("n_chars").alias("log_chars"), (F.col("lang") == "en").cast("double").alias("english"), F.col("quality").alias("label"))
-    rows = stats.logistic(d, ["log_chars", "english"], "label")
-    return spark.createDataFrame(rows, "term string, coefficient double, standard_error double")
+    rows = stats.wald(stats.logistic(d, ["log_chars", "english"], "label"))
+    return spark.createDataFrame(rows, "term string, coefficient double, standard_error double, odds_ratio double, low double, high double, p double")
+
+
+@query("bootstrap_correlations")
+def bootstrap_correlations(spark, sf):
+    p = table(spark, sf, "part").select("p_brand", F.col("p_size").cast("double").alias("x"), F.floor("p_retailprice").cast("double").alias("y"))
+    out = None
+    for kind, draws in (("pearson", 2000), ("kendall", 200)):
+        own = stats.bootstrap(p, ["p_brand"], "x", "y", resamples=draws, statistic=kind).withColumn("statistic", F.lit(kind))
+        out = own if out is None else out.unionByName(own)
+    return out

@@ -169,6 +169,12 @@ def bm25_whole(spark, sf):
     return top.select("item_id", "doc_id", F.round("score", 4).alias("score"), "rank")
 
 
+@query("rag_search", f"WITH {BM25} SELECT item_id AS query_id, doc_id AS id, round(round(score, 8), 4) AS score, CAST(rank AS INT) AS rank FROM br WHERE rank <= 5")
+def rag_search(spark, sf):
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return retrieval.search(table(spark, sf, "documents").select("doc_id", "text"), q, 5, "keyword").withColumn("score", F.round("score", 4))
+
+
 SPEC = {"region": ("r_regionkey", {}), "nation": ("n_nationkey", {"n_regionkey": "region"}), "customer": ("c_custkey", {"c_nationkey": "nation"}), "orders": ("o_orderkey", {"o_custkey": "customer"})}
 
 

@@ -18,7 +18,10 @@ REQUIRED = ("antibody_id", "VH", "VL")
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """antibody_id (stripped), VH and VL (stripped, upper-cased, null as empty); columns in any order, others dropped, duplicate ids allowed."""
     raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
-    return normalized(raw)
+    rows = normalized(raw)
+    if rows.isEmpty():
+        raise ValueError(f"no rows in {path}")
+    return rows
 
 
 def normalized(raw: DataFrame) -> DataFrame:
@@ -181,3 +184,26 @@ def map_columns(names: list[str]) -> tuple[dict[str, str], list[str]]:
         if len(lone) == 1:
             found["VH"] = lone[0]
     return found, ambiguous
+
+
+def read_manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A JSON document, or several, with a given schema; a document that doesn't parse is an error."""
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+
+
+def read_settings(spark: SparkSession, path: str) -> DataFrame:
+    """(name, value) of a settings file's lines: comments and lines without a name are left out, `export` and matching quotes go, the last of a name counts."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(conf).open(p)  # Spark's readers leave out names that start with a dot
+    try:
+        lines = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()
+    finally:
+        stream.close()
+    line = F.trim("value")
+    rows = spark.createDataFrame(list(enumerate(lines)), "at bigint, value string").filter(~line.startswith("#") & line.contains("="))
+    name = F.regexp_replace(F.trim(F.substring_index(line, "=", 1)), r"^export\s+", "")
+    raw = F.trim(line.substr(F.locate("=", line) + 1, F.length(line)))
+    quoted = (F.length(raw) > 1) & raw.substr(1, 1).isin("'", '"') & (raw.substr(1, 1) == raw.substr(-1, 1))
+    value = F.when(quoted, raw.substr(F.lit(2), F.length(raw) - 2)).otherwise(raw)
+    return rows.select(name.alias("name"), value.alias("value"), "at").filter("name <> ''").groupBy("name").agg(F.max_by("value", "at").alias("value"))

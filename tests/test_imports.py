@@ -42,3 +42,39 @@ def test_bounded_csv(spark, tmp_path):
         path.write_bytes(bad)
         with pytest.raises(ValueError, match=why):
             sequences.read_bounded_csv(spark, str(path), ["id"])
+
+
+def test_settings_and_manifests(spark, tmp_path):
+    (tmp_path / ".env").write_text("# c\nA=1\nexport B = 'x=y'\n=z\nA=\"2\"\nC=\n")
+    assert {r.name: r.value for r in sequences.read_settings(spark, str(tmp_path / ".env")).collect()} == {"A": "2", "B": "x=y", "C": ""}
+    (tmp_path / "m.json").write_text('{"files": [\n{"path": "a"}]}')
+    assert sequences.read_manifest(spark, str(tmp_path / "m.json"), "files array<struct<path:string>>").first().files[0].path == "a"
+    (tmp_path / "e.csv").write_text("antibody_id,VH,VL\n")
+    with pytest.raises(ValueError, match="no rows"):
+        sequences.read_csv(spark, str(tmp_path / "e.csv"))
+
+
+def test_search_strategies(spark):
+    from quillon.operators import retrieval
+
+    docs = spark.createDataFrame([(1, "red apple", [1.0, 0.0]), (2, "green pear", [0.0, 1.0]), (3, "blue plum", [0.7, 0.7])], "doc_id int, text string, vector array<double>")
+    q = spark.createDataFrame([(9, "apple", [0.0, 1.0])], "query_id int, text string, vector array<double>")
+    top = lambda s: [r.id for r in retrieval.search(docs, q, 2, s).orderBy("rank").collect()]
+    assert top("keyword") == [1, 2] and top("vector") == [2, 3] and set(top("hybrid")) <= {1, 2, 3}
+    with pytest.raises(ValueError):
+        top("none")
+    near = retrieval.bucketed_neighbours(docs, "doc_id", "vector", q, "query_id", "vector", 1, 1.0).collect()
+    assert [r.id for r in near] == [2]
+
+
+def test_bootstrap_statistics(spark):
+    from quillon.operators import stats
+
+    df = spark.createDataFrame([("g", float(k), float(k * k % 7)) for k in range(40)] + [("c", 1.0, 1.0)] * 3, "g string, x double, y double")
+    pandas = df.toPandas()
+    own = pandas[pandas.g == "g"]
+    want = {"pearson": own.x.corr(own.y), "spearman": own.x.rank().corr(own.y.rank())}
+    for kind in ("pearson", "spearman", "kendall"):
+        r = {x.g: x for x in stats.bootstrap(df, ["g"], "x", "y", resamples=60, statistic=kind).collect()}
+        assert r["g"].low <= r["g"].rho <= r["g"].high and r["g"].degenerate == 0 and r["c"].degenerate == 60
+        assert kind == "kendall" or abs(r["g"].rho - want[kind]) < 1e-12
