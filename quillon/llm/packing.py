@@ -7,7 +7,7 @@ places by their rank among pieces of their length: a task numbers its own, and s
 offsets. Nothing but counts by length reaches the driver.
 
 Token ids come from the tokenizer file; texts are cut before blanks that a non-blank follows, where the vocabulary's byte-level splitting always cuts,
-and each distinct cut is encoded once and remembered, up to CACHE cuts in a worker.
+and a distinct cut is put together from known ones or encoded, and remembered, up to CACHE cuts in a worker.
 
 Defined cases: a null text is empty and gives the end token alone; rows with a null id are packed like others; repeated rows are packed each; an
 empty table gives an empty result; very long texts are tokenised whole and cut into pieces; columns other than the id and the text are left out.
@@ -33,9 +33,11 @@ from quillon.llm.common import table
 from quillon.runtime import flat_map, materialize
 
 CAPACITY = 2048
-#: Cuts whose ids a worker remembers: some 80 MB.
-CACHE = 300_000
+#: Cuts whose ids a worker remembers: some 140 MB.
+CACHE = 600_000
 _CUT = re.compile(r" (?=\S)")
+#: A blank that no non-blank follows; without one, every blank is a cut.
+_ODD = re.compile(r" (?:\s|\Z)")
 #: The byte-level splitting pattern of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PROBE = "It's  a\n\n probe, naïve 123 <|endoftext|>\t… of_words \u3042!! "
@@ -48,6 +50,33 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+class Remembered(dict):
+    """Ids of cuts as bytes; a cut that is not there yet is encoded behind the blank, or none, that it was cut at.
+
+    With lines, the cuts of line starts, a new cut is put together from known ones where the byte-level splitting always cuts: around a line feed
+    between two characters that aren't white space, and between a letter and a mark that ends the cut.
+    """
+
+    def __init__(self, lead: str, encode, lines: Remembered | None = None, split: bool = False):
+        super().__init__()
+        self.lead, self.encode, self.split = lead, encode, split
+        self.lines = self if lines is None else lines
+        self.single = {x: array("I", encode(x)).tobytes() for x in "\n.,;:!?"}
+
+    def __missing__(self, cut: str) -> bytes:
+        if self.split and len(cut) > 1:
+            if "\n" in cut:
+                parts = cut.split("\n")
+                if all(p and not p[0].isspace() and not p[-1].isspace() for p in parts):
+                    feed, later = self.single["\n"], self.lines
+                    return self[parts[0]] + b"".join([feed + later[p] for p in parts[1:]])  # seldom met again, so not remembered
+            elif cut[-1] in self.single and cut[-2].isalpha():
+                self[cut] = ids = self[cut[:-1]] + self.single[cut[-1]]
+                return ids
+        self[cut] = ids = array("I", self.encode(self.lead + cut)).tobytes()
+        return ids
+
+
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit numbers.
 
@@ -61,8 +90,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
         self.fast = self._ranked()
+        encode = self.fast.encode_ordinary if self.fast else lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        self.first = Remembered("", encode, split=bool(self.fast))
+        self.later = Remembered(" ", encode, self.first, split=bool(self.fast))
 
     def _ranked(self):
         import tiktoken
@@ -74,27 +105,15 @@ class Encoder:
         fast = tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks={bytes(letters[c] for c in w): k for w, k in vocab.items()}, special_tokens={})
         return fast if fast.encode_ordinary(PROBE) == self.tokenizer.encode(PROBE, add_special_tokens=False).ids else None
 
-    def _encode_new(self, batch: list[str]) -> list[list[int]]:
-        if self.fast:
-            return list(map(self.fast.encode_ordinary, batch))
-        return [e.ids for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = []
+        if len(self.first) + len(self.later) > CACHE:
+            self.first.clear()
+            self.later.clear()
+        first, later, out = self.first, self.later.__getitem__, []
         for text in texts:
-            own = _CUT.split(text) if "  " in text else text.split(" ")
-            if "" in own[1:] or any(x[:1].isspace() for x in own[1:]):
-                own = _CUT.split(text)
-            parts.append([own[0], *[f" {x}" for x in own[1:]]])
-        if len(self.known) > CACHE:
-            self.known.clear()
-        new = list({x for own in parts for x in own} - self.known.keys())
-        for at in range(0, len(new), 4096):
-            batch = new[at : at + 4096]
-            for x, ids in zip(batch, self._encode_new(batch)):
-                self.known[x] = array("I", ids).tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, own)) for own in parts]
+            own = _CUT.split(text) if _ODD.search(text) else text.split(" ")
+            out.append(first[own[0]] + b"".join(map(later, own[1:])))
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
