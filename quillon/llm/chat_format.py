@@ -8,7 +8,7 @@ hold `<|`, and the reverse takes one backslash away. In roles a backslash and a
 
 Defined cases: null text is empty, a null role is an empty role, rows with a null conversation id form one conversation; turns go by number, nulls
 first, and tied turns by role and text; repeated rows are turns of their own; an unknown part type raises ValueError; an
-empty table gives an empty result. A conversation becomes one string, so it must fit a task; no other group is gathered.
+empty table gives an empty result; very long texts stay whole; other columns of the rows are left out, whatever their names. A conversation becomes one string, so it must fit a task; no other group is gathered.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ map-side combine, and the frequent hashes go back to the documents, whose other
 Frequent hashes are broadcast while they are few; beyond that bound they are joined to the documents' hashes instead.
 
 Defined cases: a null text counts as empty, one empty line; a line whose key is shorter than min_key is never dropped; a
-key that repeats within a document counts once; rows are documents, so repeated rows count each; an empty table
+key that repeats within a document counts once; very long texts are split whole; rows are documents, so repeated rows count each; an empty table
 gives an empty result; input columns named like a result column are replaced by it.
 """
 

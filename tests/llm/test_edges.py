@@ -337,3 +337,45 @@ def test_pii_learned_spans_gain():
     p = np.array([1 / (1 + np.exp(-(a * pii.margin(trees, r) + b))) for r in x])
     chosen = p >= np.array(thresholds)[kind]
     assert y[chosen].mean() > 0.93 and chosen[y == 1].mean() > 0.7
+
+
+def test_chat_long_texts_and_other_columns(spark):
+    text = "long <|im_end|> " * 50_000
+    rows = spark.createDataFrame([(1, 2, "assistant", text, "x", "y"), (1, 1, "user", "a", "x", "y"), (1, 1, "user", "a", "x", "y")], "conv_id bigint, turn bigint, role string, text string, formatted string, loss string")
+    r = chat_format.read_back(chat_format.chat_format(rows)).first()
+    assert (r.n_turns, r.loss_chars) == (3, len(text)) and r.loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_classifiers_on_repeated_rows_and_ties(spark):
+    train = spark.createDataFrame([(k, "same words here", "en" if k % 2 else "de") for k in range(40)], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id bigint, quality int")
+    scores = {r.score for r in quality.quality_scores(train, quality.fit(train, labels)).collect()}
+    assert len(scores) == 1 and 0 <= scores.pop() <= 1  # equal texts score alike, whatever their labels
+    model = language_id.fit(train, "text", "lang", "doc_id")
+    got = {(r.lang_pred, round(r.score, 6)) for r in language_id.language_id(train.unionByName(train), model).collect()}
+    assert got == {("de", 0.5)}  # of languages that tie the first in the alphabet
+
+
+def test_packing_piece_limits_are_plain():
+    """Pieces of n tokens: whole ones but for the first, none empty, in order."""
+    for n in range(1, 40):
+        cuts = packing.cut_points(n, 8)
+        assert [s for s, _ in cuts] == [0, *(sum(k for _, k in cuts[: i + 1]) for i in range(len(cuts) - 1))] and sum(k for _, k in cuts) == n
+        assert all(k == 8 for _, k in cuts[1:]) and 1 <= cuts[0][1] <= 8
+
+
+def test_similarity_sketch_never_rules_out_a_similar_pair():
+    from quillon.llm import similar
+
+    rng = np.random.default_rng(13)
+    fresh = lambda n: rng.integers(0, 2**64, n, dtype=np.uint64)
+    for _ in range(300):
+        both = fresh(int(rng.integers(1, 900)))
+        own = int(len(both) * 0.25)
+        x = int(rng.integers(0, own + 1))
+        a, b = (np.unique(np.concatenate([both, fresh(k)])) for k in (x, own - x))
+        if similar.jaccard(a, b) >= 0.8:
+            room = len(a) + len(b) - 2 * int(np.ceil((len(a) + len(b)) * 0.8 / 1.8 - 1e-6))
+            for size in (256, 1024):
+                different = np.bitwise_count((similar.parities(a, size) ^ similar.parities(b, size)).view(np.uint64)).sum()
+                assert different <= room
