@@ -20,7 +20,11 @@ SPECIALISTS = {"scan_agent": ("scan_antibody", "mutate_scan", "risk_score"), "ml
 FAILED = ("未检索到", "错误", "检索失败")
 #: Fields that never leave the machine.
 PRIVATE = ("sequence", "vh", "vl", "raw_sequence", "original_sequence", "mutant_sequence", "path", "file_path", "api_key", "token", "secret", "password")
+#: The form of a length claim; words that deny a mechanism, and those that take the denial back.
 LENGTH = r"(?i)(?:序列(?:\s*\d+)?长度|sequence(?:\s*\d+)?\s+length)\s*(?:为|is)?\s*[:：]?\s*(\d+)\s*aa\b"
+DENIED, STRESSED = r"\b(?:not|never|cannot)\b|未|不能|无法|不应", r"\bnot only\b|不仅"
+#: The form of a search result's entries.
+ENTRY = {"head": r"^\[\d+\]\s*Title:\s*\S", "index": r"^\[(\d+)\]", "title": r"^\[\d+\]\s*Title:\s*([^\n]+)", "pmid": r"PMID:\s*([0-9A-Za-z]+)", "doi": r"DOI:\s*(\S+)", "year": r"Journal:[^\n]*?\((\d{4})\)", "abstract": r"(?s)Abstract:\s*(.*)"}
 
 
 def positions(text: Column) -> Column:
@@ -113,11 +117,11 @@ def unsupported_mechanisms(answer: Column, evidence: Column, subjects: tuple[str
     source = plain_words(evidence)
     clauses = F.filter(F.transform(F.split(F.coalesce(answer, F.lit("")), r"[.!?;\n。！？；]"), plain_words), lambda x: x != "")
     linked = lambda x: reduce(lambda a, b: a | b, [x.contains(s) for s in subjects]) & reduce(lambda a, b: a | b, [x.contains(s) for s in effects])
-    denied = lambda x: (x.rlike(r"\b(?:not|never|cannot)\b|未|不能|无法|不应") & ~x.rlike(r"\bnot only\b|不仅")) | x.rlike(r"^no evidence (?:that|of)\b|^无证据")
+    denied = lambda x: (x.rlike(DENIED) & ~x.rlike(STRESSED)) | x.rlike(r"^no evidence (?:that|of)\b|^无证据")
     return F.filter(clauses, lambda x: linked(x) & ~denied(x) & ~source.contains(x))
 
 
-#: Words of a claim about a field's type, and the type that they mean.
+#: Words of a claim about a field's type, and the type that they mean.
 TYPE_WORDS = {"string": "string", "strings": "string", "字符串": "string", "list": "array", "lists": "array", "array": "array", "arrays": "array", "列表": "array", "数组": "array", "object": "object", "objects": "object", "dict": "object", "dictionary": "object", "对象": "object", "字典": "object", "null": "null", "none": "null"}
 
 
@@ -154,12 +158,9 @@ def history_state(rows: DataFrame, conversation: str, turn: str, shown: int = 4,
 def result_entries(text: Column) -> Column:
     """Entries (index, title, pmid, doi, year, abstract) of a search result's blocks; none of a failed search."""
     t = F.trim(F.coalesce(text, F.lit("")))
-    get = lambda b, form: F.regexp_extract(b, form, 1)
-    blocks = F.filter(F.split(t, r"\n\s*\n"), lambda b: b.rlike(r"^\[\d+\]\s*Title:\s*\S"))
-    entry = lambda b: F.struct(
-        get(b, r"^\[(\d+)\]").cast("int").alias("index"), F.trim(get(b, r"^\[\d+\]\s*Title:\s*([^\n]+)")).alias("title"), get(b, r"PMID:\s*([0-9A-Za-z]+)").alias("pmid"),
-        get(b, r"DOI:\s*(\S+)").alias("doi"), get(b, r"Journal:[^\n]*?\((\d{4})\)").alias("year"), F.trim(get(b, r"(?s)Abstract:\s*(.*)")).alias("abstract"),
-    )
+    get = lambda b, part: F.trim(F.regexp_extract(b, ENTRY[part], 1))
+    blocks = F.filter(F.split(t, r"\n\s*\n"), lambda b: b.rlike(ENTRY["head"]))
+    entry = lambda b: F.struct(get(b, "index").cast("int").alias("index"), *[get(b, p).alias(p) for p in ("title", "pmid", "doi", "year", "abstract")])
     failed = reduce(lambda a, b: a | b, [t.startswith(x) for x in FAILED]) | (t == "")
     return F.when(failed, F.array().cast("array<struct<index:int,title:string,pmid:string,doi:string,year:string,abstract:string>>")).otherwise(F.transform(blocks, entry))
 

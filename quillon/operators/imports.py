@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 from quillon.functions import rules, sequences
 from quillon.operators.features import infer_column
 
-#: Labels of a chain in record headers; names of columns, as they read without case, white space, underscores and hyphens.
+#: Labels of a chain in record headers; names of columns, as they read without case, white space, underscores and hyphens; words of a sheet's header;
+#: the token for what is missing; bounds of an import.
 CHAIN_LABELS = {"VH": ("VH", "H", "HC", "HEAVY", "HEAVYCHAIN"), "VL": ("VL", "L", "LC", "LIGHT", "LIGHTCHAIN")}
 COLUMN_NAMES = {
     "antibody_id": ("antibodyid", "id", "antibody", "clone", "cloneid", "sample", "sampleid", "antibodynumber", "抗体编号", "抗体id", "样本编号", "克隆编号"),
