@@ -4,9 +4,9 @@
    equal offsets. Neighbouring windows share owners: some 1 position in 150 is an anchor, with the run of windows that it owns.
 2. Buckets. Anchors are counted by q-gram hash with a map-side combine. Those that occur once own no repeated window and end here. Where all anchors of a
    q-gram own the same run of windows with the same bytes, by a 128-bit digest, all these windows are repeated.
-3. Refinement. Other buckets hold classes of different runs. One text of each class is fetched, and bucket-pointer refinement sorts the bucket's
-   suffixes: initial buckets of q-grams get refined by the bucket numbers of later offsets, 25, 50, 100, 200 bytes on, each
-   round reusing the numbers of the last, until numbers stand for whole windows. Windows that share a number are repeated.
+3. Refinement. Other buckets hold classes of different runs. One text of each class is fetched, and bucket-pointer refinement sorts the suffixes of
+   many whole buckets at once: initial buckets of q-grams, q a quarter of the length, get refined by the bucket numbers of later offsets, q and 2 q
+   bytes on, each round reusing the numbers of the last, until numbers stand for whole windows. Windows that share a number are repeated.
 4. Buckets of more than CLASSES classes (a passage that a great many documents embed) are never gathered: a run of windows is judged
    by digests of the bytes that all of them share, and of the bytes that any of them covers. A core found once means that none is repeated, a cover found
    again means that all are; what lies between the two is halved, and its halves judged in the next round, nine rounds at most.
@@ -40,8 +40,9 @@ GRAM = 100
 PASSAGE = 256
 PASSAGE_GRAM = 64
 CLASSES = 256
-#: Bytes that are hashed at once.
+#: Bytes that are hashed at once, and bytes whose suffixes are sorted at once (but for the last bucket's).
 CHUNK = 1 << 20
+SORTED = 1 << 16
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -99,19 +100,21 @@ def owned_runs(data: bytes, bounds: list[tuple[int, int]], length: int, q: int)
 
 
 def anchors_of(batch: list[bytes], length: int, q: int):
-    """Rows (document, first window, windows, anchor offset, q-gram hash, digest of the run's bytes) for a list of texts."""
+    """Arrays (document, first window, windows, anchor offset, q-gram hash, digest of the run's bytes as two numbers) for a list of texts."""
     todo: list[tuple[int, int, bytes]] = []
 
     def flush():
         data = b"".join(t for _, _, t in todo)
-        at = np.cumsum([0, *(len(t) for _, _, t in todo)])
-        doc, first, n, off, h = owned_runs(data, list(zip(at[:-1].tolist(), at[1:].tolist())), length, q)
-        for d, f, k, o, x in zip(doc.tolist(), first.tolist(), n.tolist(), off.tolist(), h.tolist()):
-            number, base, _ = todo[d]
-            s = int(at[d]) + f
-            digest = xxhash.xxh3_128_digest(data[s : s + k - 1 + length], seed=o)
-            yield number, base + f, k, o, x, digest
+        sizes = np.array([len(t) for _, _, t in todo])
+        at = np.cumsum(sizes) - sizes
+        doc, first, n, off, h = owned_runs(data, list(zip(at.tolist(), (at + sizes).tolist())), length, q)
+        start = at[doc] + first
+        view = memoryview(data)
+        digests = b"".join([xxhash.xxh3_128_digest(view[s:e], seed=o) for s, e, o in zip(start.tolist(), (start + n + (length - 1)).tolist(), off.tolist())])
+        halves = np.frombuffer(digests, "<i8").reshape(-1, 2)
+        number, base = np.array([x[:2] for x in todo], np.int64).T
         todo.clear()
+        return number[doc], base[doc] + first, n, off, h, halves[:, 0], halves[:, 1]
 
     size = 0
     for number, text in enumerate(batch):
@@ -121,31 +124,52 @@ def anchors_of(batch: list[bytes], length: int, q: int):
                 todo.append((number, base, part))
                 size += len(part)
             if size >= CHUNK // 2:
-                yield from flush()
+                yield flush()
                 size = 0
     if todo:
-        yield from flush()
+        yield flush()
+
+
+def gram_numbers(raw: bytes, q: int) -> np.ndarray:
+    """Numbers of the q-grams at all places: sorted by hash, neighbours of one hash compared by their bytes."""
+    h = gram_hashes(np.frombuffer(raw, np.uint8), q)
+    order = np.argsort(h)
+    other = np.diff(h[order]) != 0
+    a, b = order[:-1][~other], order[1:][~other]
+    width = 8 if q >= 8 else 1
+    words = np.ndarray(len(raw) - width + 1, f"<u{width}", raw, strides=(1,))
+    if any((words[a + k] != words[b + k]).any() for k in {*range(0, q - width + 1, width), q - width}):  # two grams of one hash: sorted by bytes instead
+        grams = np.lib.stride_tricks.sliding_window_view(np.frombuffer(raw, np.uint8), q)
+        return np.unique(np.ascontiguousarray(grams).view(f"V{q}").ravel(), return_inverse=True)[1].astype(np.int64)
+    out = np.empty(len(h), np.int64)
+    out[order] = np.append(0, np.cumsum(other))
+    return out
 
 
 def repeated_windows(contexts: list[bytes], length: int) -> list[np.ndarray]:
     """For each text, the windows whose bytes occur at another place of the texts, by bucket-pointer refinement."""
-    data = np.frombuffer(b"".join(contexts), np.uint8)
-    edges = np.cumsum([0, *map(len, contexts)])
-    q = length
-    while q % 2 == 0 and q > 32:
-        q //= 2  # 400, 200, 100, 50, 25
-    grams = np.lib.stride_tricks.sliding_window_view(data, q)
-    bucket = np.unique(np.ascontiguousarray(grams).view(f"V{q}").ravel(), return_inverse=True)[1].astype(np.int64)
-    depth = q
+    raw = b"".join(contexts)
+    sizes = np.array([len(c) for c in contexts])
+    counts = sizes - length + 1
+    ends = np.cumsum(counts)
+    windows = np.arange(ends[-1]) + np.repeat(np.cumsum(sizes) - sizes - (ends - counts), counts)
+    q = depth = max(1, length // 4)
+    steps = []
     while depth < length:
-        step = min(depth, length - depth)
-        pair = bucket[: len(bucket) - step] * (int(bucket.max()) + 1) + bucket[step:]
-        bucket = np.unique(pair, return_inverse=True)[1].astype(np.int64)
-        depth += step
-    windows = np.concatenate([np.arange(s, e - length + 1) for s, e in zip(edges[:-1], edges[1:])])
-    again = np.zeros(len(data) + 1, bool)
-    again[windows] = np.bincount(bucket[windows], minlength=int(bucket.max()) + 1)[bucket[windows]] > 1
-    return [np.flatnonzero(again[s : e - length + 1]) for s, e in zip(edges[:-1], edges[1:])]
+        steps.append(min(depth, length - depth))
+        depth += steps[-1]
+    places = [windows]  # whose numbers a round has to refine, last round first
+    for step in steps[:0:-1]:
+        needed = np.zeros(len(raw), bool)
+        needed[places[-1]] = needed[places[-1] + step] = True
+        places.append(np.flatnonzero(needed))
+    bucket = gram_numbers(raw, q)
+    for step, at in zip(steps, reversed(places)):
+        pair = bucket[at] * (int(bucket.max()) + 1) + bucket[at + step]
+        bucket[at] = np.unique(pair, return_inverse=True)[1]
+    number = bucket[windows]
+    again = np.bincount(number)[number] > 1
+    return [np.flatnonzero(again[e - n : e]) for e, n in zip(ends.tolist(), counts.tolist())]
 
 
 def runs(windows: np.ndarray) -> list[tuple[int, int]]:
@@ -168,10 +192,17 @@ def refine(groups: DataFrame, length: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            out = []
-            for gram, classes in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for c, own in zip(classes, repeated_windows([c["text"] for c in classes], length)):
-                    out += [(gram, c["f1"], c["f2"], low, high) for low, high in runs(own)]
+            counts = b.column(1).value_lengths().to_numpy()
+            grams = np.repeat(b.column(0).to_numpy(), counts).tolist()
+            f1, f2, text = (c.to_pylist() for c in b.column(1).flatten().flatten())
+            ends = np.cumsum(counts).tolist()
+            out, start, size = [], 0, 0
+            for k, (before, end) in enumerate(zip([0, *ends], ends)):
+                size += sum(map(len, text[before:end]))
+                if size >= SORTED or k + 1 == len(ends):
+                    for c, own in zip(range(start, end), repeated_windows(text[start:end], length)):
+                        out += [(grams[c], f1[c], f2[c], low, high) for low, high in runs(own)]
+                    start, size = end, 0
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(5)], names=RANGE.names)
 
     return flat_map(groups, RANGE, run)
@@ -235,11 +266,8 @@ def repeated_spans(keyed: DataFrame, text_col: str, length: int = LENGTH, q: int
     def emit(batches):
         for b in batches:
             k1, k2 = b.column("__k1").to_numpy(), b.column("__k2").to_numpy()
-            rows = list(anchors_of(texts(b.column(text_col)), length, q))
-            doc = np.array([r[0] for r in rows], np.int64)
-            digests = np.frombuffer(b"".join(r[5] for r in rows), "<i8").reshape(-1, 2)
-            columns = [k1[doc], k2[doc], *(np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3, 4)), np.ascontiguousarray(digests[:, 0]), np.ascontiguousarray(digests[:, 1])]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=ANCHOR.names)
+            for doc, *columns in anchors_of(texts(b.column(text_col)), length, q):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c, np.int64)) for c in (k1[doc], k2[doc], *columns)], names=ANCHOR.names)
 
     ANCHOR = T.StructType(long("__k1", "__k2", "first", "n", "off", "gram", "f1", "f2"))
     anchors = materialize(flat_map(keyed.select("__k1", "__k2", text_col), ANCHOR, emit), "anchors")

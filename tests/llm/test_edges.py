@@ -176,6 +176,21 @@ def test_substring_dedup(docs, none, classes, passage):
     assert substring_dedup.substring_dedup(none).count() == 0
 
 
+@pytest.mark.parametrize("collide", [False, True])
+def test_refinement(monkeypatch, collide):
+    """Repeated windows of any length, against counting; grams of one hash are told apart by their bytes."""
+    if collide:
+        real = substring_dedup.gram_hashes
+        monkeypatch.setattr(substring_dedup, "gram_hashes", lambda data, q: real(data, q) & np.uint64(1))
+    rng = np.random.default_rng(5)
+    for length in [*range(1, 40), 256, 400]:
+        base = rng.integers(97, 97 + int(rng.integers(1, 4)), 900).astype(np.uint8).tobytes()
+        contexts = [base[s : s + length + int(rng.integers(0, 60))] for s in rng.integers(0, 400, 6).tolist()]
+        n = Counter(c[i : i + length] for c in contexts for i in range(len(c) - length + 1))
+        want = [[i for i in range(len(c) - length + 1) if n[c[i : i + length]] > 1] for c in contexts]
+        assert [x.tolist() for x in substring_dedup.repeated_windows(contexts, length)] == want
+
+
 def test_packing(docs, none):
     path = packing.default_tokenizer()
     rows = packing.pack(docs, path, capacity=64, with_ids=True).collect()
